@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import packing, token_output
+from quillon.llm import packing, simhash, token_output
 from quillon.llm.common import scratch
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -30,9 +30,15 @@ def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(items, 2048)
 
 
+def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marks = simhash.fingerprints(_table(spark, sf_dir, "documents"), shingle=4, seed=42)
+    return simhash.near_groups(marks, radius=4).select("doc_id", simhash.as_hex("fp").alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_ids": token_ids,
     "op2_best_fit_packing": best_fit_packing,
+    "op10_simhash_near_dedup": simhash_near_dedup,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
