@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import packing, simhash, token_output
+from quillon.llm import langid, packing, quality, simhash, token_output
 from quillon.llm.common import scratch
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -35,9 +35,26 @@ def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(marks, radius=4).select("doc_id", simhash.as_hex("fp").alias("fingerprint"), "component_id")
 
 
+def quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = quality.train(docs, labels.filter(langid.fold("doc_id", 5) != 0))
+    scored = quality.score(docs.select("doc_id", "text"), model)
+    p = F.col("__q_score")
+    return scored.select("doc_id", F.coalesce(langid.fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), p.alias("score"), (p >= 0.3).cast("int").alias("predicted"))
+
+
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    net = langid.train(docs.filter(langid.fold("doc_id", 4) != 2))
+    out = langid.identify(docs, net)
+    return out.select("doc_id", F.coalesce(langid.fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_ids": token_ids,
     "op2_best_fit_packing": best_fit_packing,
+    "op6_quality_neighbours": quality_neighbours,
+    "op8_language_id": language_id,
     "op10_simhash_near_dedup": simhash_near_dedup,
 }
 
