@@ -9,37 +9,39 @@ encoded by it.
 from __future__ import annotations
 
 import os
-import re
 import struct
-from collections.abc import Callable
 from functools import lru_cache
 from operator import itemgetter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: ASCII letters with a tail of plain marks: the tail is a pre-token of its own.
-_PLAIN = re.compile(r"([A-Za-z]+)([.,;:!?]*)")
+_MARKS = ".,;:!?"
 
 
 class WordEncoder(dict):
-    """Maps a chunk to its ids' bytes. ``limit`` bounds the entries of each of the two caches,
-    so memory does not grow with the input."""
+    """Maps a chunk to its ids' bytes. ``limit`` bounds the entries, so memory does not grow with
+    the input."""
 
-    def __init__(self, path: str, limit: int = 350_000):
+    def __init__(self, path: str, limit: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         super().__init__({"": b""})
         self.model = Tokenizer.from_file(path)
         self.limit = limit
-        self.dtype = "<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4"
-        self.cores: dict[str, bytes] = {}
+        self.dtype = np.dtype("<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4")
+        self.marks = [b"", *(self._ask(m) for m in _MARKS)]
+        self.mark_of = np.zeros(256, dtype=np.int64)
+        for i, m in enumerate(_MARKS):
+            self.mark_of[ord(m)] = i + 1
         probes = ("The", "USER", "Xyzzy", "Qwertly")
         # a lower-casing model gives a word and its capitalised form the same ids
         self.folds = all(self._ask(w) == self._ask(w.lower()) == self._bare(w.lower()) for w in probes)
 
     def _bytes(self, ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}{'H' if self.dtype == '<u2' else 'I'}", *ids)
+        return struct.pack(f"<{len(ids)}{'H' if self.dtype.itemsize == 2 else 'I'}", *ids)
 
     def _ask(self, text: str) -> bytes:
         return self._bytes(self.model.encode(text, add_special_tokens=False).ids)
@@ -48,29 +50,47 @@ class WordEncoder(dict):
         """A lower-case ASCII word, which needs no normalising."""
         return self._bytes([t.id for t in self.model.model.tokenize(word)])
 
-    def _core(self, part: str, ask: Callable[[str], bytes]) -> bytes:
-        got = self.cores.get(part)
-        if got is None:
-            got = ask(part)
-            if len(self.cores) < self.limit:
-                self.cores[part] = got
-        return got
-
     def __missing__(self, chunk: str) -> bytes:
-        m = _PLAIN.fullmatch(chunk)
-        if m and self.folds:
-            got = self._core(m[1].lower(), self._bare) + (self._core(m[2], self._ask) if m[2] else b"")
-        else:
-            got = self._ask(chunk)
+        plain = self.folds and chunk.isascii() and chunk.isalpha() and chunk.islower()
+        got = self._bare(chunk) if plain else self._ask(chunk)
         if len(self) < self.limit and len(chunk) < 64:
             self[chunk] = got
         return got
 
-    def encode(self, text: str) -> np.ndarray:
-        """The model's ids of the whole text, without special tokens."""
-        words = text.replace("\n", " ").split(" ")
-        parts = itemgetter(*words)(self) if len(words) > 1 else (self[words[0]],)
-        return np.frombuffer(b"".join(parts), dtype=self.dtype)
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all the texts, where each begins and the last ends), without special tokens.
+
+        Chunks are numbered by Arrow, so each distinct one is looked up once a batch.
+        """
+        plain = pc.replace_substring(texts, "\n", " ")
+        if self.folds and not pc.any(pc.match_substring(plain, "<|")).as_py():  # special tokens are case-sensitive
+            plain = pc.ascii_lower(plain)
+        lists = pc.split_pattern(plain, " ")
+        coded = lists.flatten().dictionary_encode()
+        core, tail = self._halves(coded.dictionary)
+        words = core.dictionary.to_pylist()
+        parts = [*(itemgetter(*words)(self) if len(words) > 1 else [self[w] for w in words]), *self.marks]
+        ends = np.cumsum([len(p) for p in parts], dtype=np.int64) // self.dtype.itemsize
+        begins = np.concatenate(([0], ends))
+        table = np.frombuffer(b"".join(parts), dtype=self.dtype)
+        both = np.stack((core.indices.to_numpy(zero_copy_only=False), len(words) + tail), 1)
+        code = both[coded.indices.to_numpy(zero_copy_only=False)].ravel()
+        n = np.diff(begins)[code]
+        stop = np.concatenate(([0], np.cumsum(n)))
+        ids = table[np.repeat(begins[:-1][code] - stop[:-1], n) + np.arange(stop[-1])]
+        return ids, stop[2 * (lists.offsets.to_numpy() - lists.offsets[0].as_py())]
+
+    def _halves(self, words: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """Each word as a core, and the number of the mark that follows it (0: none). A single
+        mark after plain letters is a pre-token of its own; any other word is its own core."""
+        cut = pc.ascii_rtrim(words, _MARKS)
+        one = pc.equal(pc.subtract(pc.binary_length(words), pc.binary_length(cut)), 1)
+        if not self.folds:
+            one = pa.array(np.zeros(len(words), dtype=bool))
+        split = pc.and_(one, pc.match_substring_regex(cut, "^[a-z]+$"))
+        last = np.frombuffer(words.buffers()[2] or b"\0", dtype=np.uint8)[np.frombuffer(words.buffers()[1], dtype=np.int32)[words.offset + 1 : words.offset + 1 + len(words)] - 1]
+        tail = np.where(split.to_numpy(zero_copy_only=False), self.mark_of[last], 0)
+        return pc.if_else(split, cut, words).dictionary_encode(), tail
 
 
 @lru_cache(maxsize=4)

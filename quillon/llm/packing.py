@@ -38,10 +38,11 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(tokenizer)
         end = np.array([end_id], dtype="<u4")
-        for b in slices(batches, "t", 4 << 20):
+        for b in slices(batches, "t", 8 << 20):
             row, piece, start, length, ids = [], [], [], [], []
-            for i, t in enumerate(b.column("t").to_pylist()):
-                all_ids = np.concatenate((e.encode(t).astype("<u4"), end))
+            flat, begin = e.encode(b.column("t"))
+            for i in range(b.num_rows):
+                all_ids = np.concatenate((flat[begin[i] : begin[i + 1]].astype("<u4"), end))
                 for p, at in enumerate(range(0, len(all_ids), capacity)):
                     part = all_ids[at : at + capacity]
                     row.append(i), piece.append(p), start.append(at), length.append(len(part)), ids.append(part.tobytes())

@@ -136,9 +136,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
         name = f"shard-{shard:06d}-{uuid.uuid4().hex}.zst"
 
         def rows() -> Iterator[tuple[int | None, np.ndarray]]:
-            for b in slices(batches, "t"):
-                for k, t in zip(b.column("k").to_pylist(), b.column("t").to_pylist(), strict=True):
-                    yield k, np.concatenate((e.encode(t), end))
+            for b in slices(batches, "t", 8 << 20):
+                ids, at = e.encode(b.column("t"))
+                for i, k in enumerate(b.column("k").to_pylist()):
+                    yield k, np.concatenate((ids[at[i] : at[i + 1]], end))
 
         it = rows()
         if (head := next(it, None)) is None:
@@ -149,7 +150,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
     store, at = _fs(path)
     store.create_dir(at, recursive=True)
     # a row for each task, so its size is that of the shuffle's width
-    manifest = arrow_map(dealt, write, _MANIFEST).orderBy("shard").collect()
+    manifest = sorted(arrow_map(dealt, write, _MANIFEST).collect())
     out = spark.createDataFrame(manifest, _MANIFEST).coalesce(1)
     out.write.mode("overwrite").parquet(f"{path}/manifest")
     return spark.read.schema(_MANIFEST).parquet(f"{path}/manifest")
