@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import langid, packing, quality, simhash, token_output
+from quillon.llm import fingerprint, langid, packing, quality, simhash, token_output, urlfilter, warc
 from quillon.llm.common import scratch
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -50,13 +50,77 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(langid.fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare(_table(spark, sf_dir, "documents"))
+
+
+#: The rules of the URL filter's query.
+RULES = [urlfilter.Rule.of("org/", "allow"), urlfilter.Rule.of("example.org/es/", "block"), urlfilter.Rule.of("example.org/en/1", "allow"), urlfilter.Rule.of("com/fr/", "allow"), urlfilter.Rule.of("com/de/", "block")]
+
+
+def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(_table(spark, sf_dir, "pages"), RULES)
+
+
+def page_captures(pages: DataFrame) -> DataFrame:
+    """A capture log of ``pages``: of each page a full response, and a revisit at another time
+    that carries the page's own validators. Some have no ETag, or a weak one."""
+    i = F.col("page_id")
+    tag = F.concat(F.lit('"'), F.md5(F.coalesce("html", F.lit(""))), F.lit('"'))
+    common = [F.lit("last-modified"), F.concat(F.lit("day "), F.floor(i / 7).cast("string"))]
+    tagged = lambda *more: F.when(i % 3 == 0, F.create_map(*common, *more)).otherwise(F.create_map(*common, F.lit("etag"), tag, *more))
+    weak = lambda *more: F.when(i % 3 == 0, F.create_map(*common, *more)).otherwise(F.create_map(*common, F.lit("etag"), F.when(i % 3 == 1, F.concat(F.lit("W/"), tag)).otherwise(tag), *more))
+    digest = F.concat(F.lit("sha1:"), F.sha1(F.coalesce("html", F.lit(""))))
+    full = pages.select(F.concat(F.lit("response-"), i).alias("record_id"), "url", i.alias("ts"), F.lit("response").alias("kind"), tagged(F.lit("content-type"), F.lit("text/html"), F.lit("date"), F.concat(F.lit("at "), i.cast("string"))).alias("headers"), digest.alias("digest"))
+    again = (i * 7919 + 13) % (i * 2 + 10)
+    seen = pages.select(F.concat(F.lit("revisit-"), i).alias("record_id"), "url", again.alias("ts"), F.lit("revisit").alias("kind"), weak(F.lit("date"), F.concat(F.lit("at "), again.cast("string")), F.lit("content-type"), F.lit("ignored")).alias("headers"), digest.alias("digest"))
+    return full.unionByName(seen)
+
+
+def warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.resolve_revisits(page_captures(_table(spark, sf_dir, "pages").select("page_id", "url", "html")))
+    return out.withColumn("headers", warc.header_text("headers"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_ids": token_ids,
     "op2_best_fit_packing": best_fit_packing,
+    "op3_document_fingerprints": document_fingerprints,
+    "op5_warc_revisits": warc_revisits,
     "op6_quality_neighbours": quality_neighbours,
     "op8_language_id": language_id,
+    "op9_url_filter": url_filter,
     "op10_simhash_near_dedup": simhash_near_dedup,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_warc_revisits": r"""
+WITH p AS (
+  SELECT page_id AS i, url, md5(coalesce(html, '')) AS m, sha1(coalesce(html, '')) AS s,
+         regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare FROM pages),
+c AS (
+  SELECT i, m, s,
+         regexp_replace(regexp_replace(lower(regexp_extract(bare, '^[^/?]*', 0)), '^www[.]', ''), ':(80|443)$', '')
+         || regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/+$', '') AS stem,
+         list_sort(list_filter(string_split(regexp_extract(bare, '[?](.*)$', 1), '&'),
+                   lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref)(=|$)'))) AS q FROM p WHERE url IS NOT NULL),
+u AS (SELECT i, m, s, stem || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS canonical_url,
+      CASE WHEN i % 3 <> 0 THEN '"' || m || '"' END AS tag, 'day ' || CAST(i // 7 AS VARCHAR) AS lm,
+      (i * 7919 + 13) % (i * 2 + 10) AS again FROM c),
+r AS (SELECT v.i, v.canonical_url, v.again, v.tag, v.lm, v.s,
+      (SELECT max({'ts': f.i, 'id': 'response-' || f.i, 'tag': f.tag, 'lm': f.lm, 's': f.s}) FROM u f
+       WHERE f.canonical_url = v.canonical_url AND f.i < v.again) AS h FROM u v),
+o AS (SELECT *, CASE WHEN h IS NULL THEN 'missing'
+      WHEN coalesce(tag = h.tag, lm = h.lm, s = h.s) THEN 'resolved' ELSE 'mismatch' END AS outcome,
+      CASE WHEN i % 3 = 1 THEN 'W/' || tag ELSE tag END AS sent FROM r)
+SELECT 'revisit-' || i AS record_id, canonical_url, again AS ts, h.id AS resolved_id, h.ts AS resolved_ts, outcome,
+  CASE WHEN outcome = 'resolved'
+    THEN 'content-type: text/html' || chr(10) || 'date: at ' || again
+         || CASE WHEN coalesce(sent, h.tag) IS NULL THEN '' ELSE chr(10) || 'etag: ' || coalesce(sent, h.tag) END
+         || chr(10) || 'last-modified: ' || h.lm
+    ELSE 'content-type: ignored' || chr(10) || 'date: at ' || again
+         || CASE WHEN sent IS NULL THEN '' ELSE chr(10) || 'etag: ' || sent END || chr(10) || 'last-modified: ' || lm
+  END AS headers
+FROM o""",
+}
