@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import fingerprint, langid, packing, quality, simhash, token_output, urlfilter, warc
+from quillon.llm import fingerprint, langid, packing, pii, quality, simhash, token_output, urlfilter, warc
 from quillon.llm.common import scratch
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -54,6 +54,15 @@ def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare(_table(spark, sf_dir, "documents"))
 
 
+#: A deployment passes its own key.
+PII_KEY = "replace-this-key"
+
+
+def pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.replace(_table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    return out.select("doc_id", "text", F.size("__q_kinds").alias("n_entities"), F.array_join("__q_kinds", ",").alias("kinds"))
+
+
 #: The rules of the URL filter's query.
 RULES = [urlfilter.Rule.of("org/", "allow"), urlfilter.Rule.of("example.org/es/", "block"), urlfilter.Rule.of("example.org/en/1", "allow"), urlfilter.Rule.of("com/fr/", "allow"), urlfilter.Rule.of("com/de/", "block")]
 
@@ -88,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_document_fingerprints": document_fingerprints,
     "op5_warc_revisits": warc_revisits,
     "op6_quality_neighbours": quality_neighbours,
+    "op7_pii_surrogates": pii_surrogates,
     "op8_language_id": language_id,
     "op9_url_filter": url_filter,
     "op10_simhash_near_dedup": simhash_near_dedup,
