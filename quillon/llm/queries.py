@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import fingerprint, langid, packing, pii, quality, simhash, token_output, urlfilter, warc
+from quillon.llm import decontaminate, fingerprint, langid, packing, pii, quality, simhash, token_output, urlfilter, warc
 from quillon.llm.common import scratch
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -63,6 +63,10 @@ def pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", F.size("__q_kinds").alias("n_entities"), F.array_join("__q_kinds", ",").alias("kinds"))
 
 
+def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 #: The rules of the URL filter's query.
 RULES = [urlfilter.Rule.of("org/", "allow"), urlfilter.Rule.of("example.org/es/", "block"), urlfilter.Rule.of("example.org/en/1", "allow"), urlfilter.Rule.of("com/fr/", "allow"), urlfilter.Rule.of("com/de/", "block")]
 
@@ -95,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_ids": token_ids,
     "op2_best_fit_packing": best_fit_packing,
     "op3_document_fingerprints": document_fingerprints,
+    "op4_decontamination": decontamination,
     "op5_warc_revisits": warc_revisits,
     "op6_quality_neighbours": quality_neighbours,
     "op7_pii_surrogates": pii_surrogates,
