@@ -3,17 +3,19 @@
 1. Documents become sequences of numbers of the benchmark's words (0: any other word), kept in
    the shared folder; every later pass reads those instead of the texts.
 2. Overlapping windows of ``WINDOW`` words are the passages. Their document frequencies give the
-   TF-IDF weights, over all passages.
-3. A randomised SVD of the TF-IDF matrix of all passages in one distributed pass: each task sums
-   ``A'(A W)`` over its passages for a random ``W``, the sums are added by row, and the driver
-   finishes a Nystroem decomposition of a matrix of ``TERMS`` rows at most.
-4. Each passage is folded into the latent space and compared with every benchmark passage, in
-   blocks; pairs of at least ``COSINE`` are candidates.
+   TF-IDF weights, over all passages; a term in over ``COMMON`` of them weighs nothing.
+3. A randomised SVD of the TF-IDF matrix in one distributed pass: each task sums ``A'(A W)`` over
+   its passages for a random ``W``, the sums are added by row, the benchmark's passages join with
+   ``EMPHASIS`` times the energy of all others, and the driver finishes a Nystroem
+   decomposition. The rank exceeds the number of benchmark passages: with fewer dimensions than
+   that, texts without topics lose just the rare words that tell passages apart (see README).
+4. Each passage is folded into the latent space and its cosine with every benchmark passage
+   taken, in blocks; both products are one table by term. Pairs of at least ``COSINE`` are candidates.
 5. A candidate counts if the longest common subsequence of words covers ``STRONG`` of the
    benchmark passage, or ``WEAK`` of it and half of its answer (the end of the item).
 
-The benchmark is broadcast in parts of at most ``PART_WORDS`` words, so what a task holds is
-bounded however large it is. Defined results: null or empty texts match nothing; items without
+The benchmark is broadcast in parts of at most ``PART_PASSAGES`` passages, so what a task holds
+is bounded however large it is. Defined results: null or empty texts match nothing; items without
 words are ignored; an item of several passages is found by any of them; equal rows get equal answers.
 """
 
@@ -31,10 +33,10 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import arrow_map, cut, forget, keyed, slices
 
-WINDOW, RANK, EXTRA, TERMS = 64, 48, 8, 8192
-COSINE, STRONG, WEAK = 0.55, 0.8, 0.6
-PART_WORDS = 60_000
-STRIDE = WINDOW // 2
+WINDOW, STRIDE = 32, 16
+EXTRA, PART_PASSAGES, LONGEST = 24, 400, 40
+COMMON, EMPHASIS = 0.05, 100.0
+COSINE, STRONG, WEAK = 0.5, 0.8, 0.6
 
 _PUNCTUATION = r"[^\pL\pN]+"
 
@@ -59,45 +61,31 @@ def word_ids(texts: pa.Array, vocabulary: dict[str, int]) -> tuple[np.ndarray, n
 
 @dataclass
 class Part:
-    """A part of the benchmark: passages as word numbers, and where they are in latent space."""
+    """A part of the benchmark: passages as word numbers, and their cosines by term."""
 
     vocabulary: dict[str, int]
     items: list[int]  # item of each passage
     passages: list[list[int]]
     weights: np.ndarray | None = None  # by word number
-    basis: np.ndarray | None = None  # weighted, by word number
-    vectors: np.ndarray | None = None
+    table: np.ndarray | None = None  # what a word adds to the product with each passage
     masks: list[dict[int, int]] | None = None
 
-    @property
-    def terms(self) -> int:
-        return min(TERMS, len(self.vocabulary) + 1)
-
-    def bucket(self) -> np.ndarray:
-        """The matrix row of each word number; 0 stays 0 and never counts."""
-        n = np.arange(len(self.vocabulary) + 1)
-        return np.where(n < TERMS, n, 1 + n % (TERMS - 1))
-
 
 def parts(benchmark: DataFrame, key: str = "item_id", text: str = "text") -> Iterator[Part]:
-    vocabulary: dict[str, int] = {}
-    items: list[int] = []
-    passages: list[list[int]] = []
-    held = 0
+    """Passages of ``LONGEST`` words at most. A part has fewer than 2^16 words."""
+    new = lambda: Part({}, [], [])
+    part = new()
     for r in keyed(benchmark, key, text).filter(F.col(text).isNotNull()).orderBy(key).toLocalIterator():
         w = words(r[text])
         while w:
-            piece, w = (w, []) if len(w) < WINDOW + WINDOW // 4 else (w[:WINDOW], w[WINDOW:])
-            for at in range(0, len(piece), 2 * WINDOW):
-                own = piece[at : at + 2 * WINDOW]
-                if held + len(own) > PART_WORDS:
-                    yield Part(vocabulary, items, passages)
-                    vocabulary, items, passages, held = {}, [], [], 0
-                items.append(r[key])
-                passages.append([vocabulary.setdefault(x, len(vocabulary) + 1) for x in own])
-                held += len(own)
-    if items:
-        yield Part(vocabulary, items, passages)
+            piece, w = (w, []) if len(w) <= LONGEST else (w[:WINDOW], w[WINDOW:])
+            if len(part.passages) == PART_PASSAGES:
+                yield part
+                part = new()
+            part.items.append(r[key])
+            part.passages.append([part.vocabulary.setdefault(x, len(part.vocabulary) + 1) for x in piece])
+    if part.items:
+        yield part
 
 
 def coded(docs: DataFrame, part: Part) -> DataFrame:
@@ -168,53 +156,70 @@ def weigh(codes: DataFrame, part: Part) -> None:
     df = np.zeros(n)
     for r in arrow_map(codes, run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).collect():  # the vocabulary at most
         df[r["w"]] = r["n"]
-    part.weights = (np.log((1 + df[0]) / (1 + df)) + 1).astype(np.float32)
+    part.weights = np.where(df > COMMON * df[0] + 1, 0, np.log((1 + df[0]) / (1 + df))).astype(np.float32)
     part.weights[0] = 0
 
 
+def _sums(strides: np.ndarray, table: np.ndarray, useful: np.ndarray) -> np.ndarray:
+    """The table's rows summed over each stride's words; words that add nothing are skipped."""
+    out = np.zeros((len(strides), table.shape[1]), dtype=np.float32)
+    row, col = np.nonzero(useful[strides])
+    if len(row):
+        begin = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+        out[row[begin]] = np.add.reduceat(table.take(strides[row, col], 0), begin, axis=0)
+    return out
+
+
 def decompose(codes: DataFrame, part: Part, seed: int = 9) -> None:
-    """Latent basis of all windows' TF-IDF rows (right singular vectors), and the items in it."""
-    m, size = part.terms, RANK + EXTRA
-    omega = np.random.default_rng(seed).standard_normal((m, size)).astype(np.float32)
-    bucket = part.bucket()
-    weighted = omega[bucket] * part.weights[:, None]
-    sent = codes.sparkSession.sparkContext.broadcast((weighted, part.weights, bucket))
+    """The latent space of all passages, and what each term adds to the benchmark's cosines."""
+    m, size = len(part.weights), len(part.passages) + EXTRA
+    omega = np.random.default_rng(seed).standard_normal((m, size)).astype(np.float32) * (part.weights > 0)[:, None]
+    sent = codes.sparkSession.sparkContext.broadcast((omega * part.weights[:, None], part.weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, weights, place = sent.value
-        total = np.zeros((len(place), size), dtype=np.float32)
-        for _, strides, first in _batches(batches):
-            for at in range(0, len(strides), 4096):
-                own = strides[at : at + 4096]
-                # strides are summed once; a window is two of them, so this counts each stride's
-                # words with the projection of the windows around it
-                s = table.take(own.ravel(), 0).reshape(*own.shape, size).sum(1)
-                flat = own.ravel()
-                order = np.argsort(flat, kind="stable")
-                sums = np.repeat(np.arange(len(own)), own.shape[1])[order]
-                ends = np.flatnonzero(np.diff(flat[order])) + 1
-                begin = np.concatenate(([0], ends))
-                total[flat[order][begin]] += np.add.reduceat(s.take(sums, 0), begin, axis=0)
+        table, weights = sent.value
+        useful = weights > 0
+        total, energy = np.zeros(table.shape, dtype=np.float32), 0.0
+        for _, strides, _ in _batches(batches):
+            for at in range(0, len(strides), 2048):
+                own = strides[at : at + 2048]
+                s = _sums(own, table, useful)
+                row, col = np.nonzero(useful[own])
+                word = own[row, col]
+                energy += float((weights[word] ** 2).sum())
+                order = np.argsort(word, kind="stable")
+                begin = np.flatnonzero(np.concatenate(([True], np.diff(word[order]) != 0))) if len(word) else []
+                if len(begin):
+                    total[word[order][begin]] += np.add.reduceat(s.take(row[order], 0), begin, axis=0)
         total *= weights[:, None]
-        out = np.zeros((m, size))
-        np.add.at(out, place, total)
-        used = np.flatnonzero(np.abs(out).sum(1))
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), *[pa.array(out[used, j]) for j in range(size)]], ["t", *[f"y{j}" for j in range(size)]])
+        total[0, 0] = energy
+        used = np.flatnonzero(np.abs(total).sum(1))
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([total[i].tobytes() for i in used], pa.binary())], ["t", "y"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by: dict[int, np.ndarray] = {}
+        for b in batches:
+            for t, y in zip(b.column("t").to_pylist(), b.column("y").to_pylist(), strict=True):
+                v = np.frombuffer(y, dtype=np.float32).astype(np.float64)
+                by[t] = by[t] + v if t in by else v
+        yield pa.RecordBatch.from_arrays([pa.array(list(by), pa.int64()), pa.array([v.tobytes() for v in by.values()], pa.binary())], ["t", "y"])
 
-    fields = ", ".join(["t long", *[f"y{j} double" for j in range(size)]])
-    summed = arrow_map(codes, run, fields).groupBy("t").agg(*[F.sum(f"y{j}").alias(f"y{j}") for j in range(size)])
     y = np.zeros((m, size))
-    for r in summed.collect():  # TERMS rows at most
-        y[r["t"]] = r[1:]
+    for r in arrow_map(arrow_map(codes, run, "t long, y binary").repartition("t"), add, "t long, y binary").collect():  # a row for each term
+        y[r["t"]] = np.frombuffer(r["y"])
+    energy, y[0] = y[0, 0], 0
+    items = np.zeros((len(part.passages), m))
+    for i, p in enumerate(part.passages):
+        np.add.at(items[i], p, part.weights[p])
+    y += EMPHASIS * max(energy, 1.0) / max((items**2).sum(), 1e-9) * (items.T @ (items @ omega))
     core = omega.astype(np.float64).T @ y
-    core = (core + core.T) / 2
-    shift = 1e-9 * max(np.trace(core), 1e-9)
-    values, vectors = np.linalg.eigh(core + shift * np.eye(size))
-    root = vectors / np.sqrt(np.maximum(values, shift))
-    left = np.linalg.svd(y @ root, full_matrices=False)[0][:, :RANK]
-    part.basis = (left[bucket] * part.weights[:, None]).astype(np.float32)
-    z = np.stack([part.basis[p].sum(0) for p in part.passages])
-    part.vectors = (z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+    values, vectors = np.linalg.eigh((core + core.T) / 2)
+    least = 1e-10 * max(values[-1], 1e-30)
+    root = vectors[:, values > least] / np.sqrt(values[values > least])
+    space = np.linalg.qr(y @ root)[0]
+    latent = items @ space
+    latent /= np.maximum(np.linalg.norm(items, axis=1, keepdims=True), 1e-9)
+    part.table = (part.weights[:, None] * (space @ latent.T)).astype(np.float32)
     part.masks = []
     for p in part.passages:
         mask: dict[int, int] = {}
@@ -242,22 +247,27 @@ def _answer(n: int) -> int:
 def matches(codes: list[bytes | np.ndarray], part: Part) -> list[tuple[int, int, float, float, int]]:
     """(text, passage, share covered, cosine, first word of the region) of what counts."""
     strides, first = _strides(codes)
-    s = np.concatenate([part.basis.take(strides[i : i + 4096].ravel(), 0).reshape(-1, STRIDE, part.basis.shape[1]).sum(1) for i in range(0, len(strides), 4096)])
     starts = _windows(first)
     inner = np.ones(len(strides), dtype=bool)
     inner[first[1:] - 1] = False
-    z = s[starts] + np.where(inner[starts][:, None], s[np.minimum(starts + 1, len(s) - 1)], 0)
-    z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
+    useful = part.weights > 0
+    square = (part.weights**2)[strides].sum(1)
     best: dict[tuple[int, int], tuple[float, float, int]] = {}
     owner = np.searchsorted(first, starts, side="right") - 1
-    for at in range(0, len(starts), 4096):
-        sims = z[at : at + 4096] @ part.vectors.T
+    for at in range(0, len(starts), 2048):
+        own = starts[at : at + 2048]
+        lo, hi = int(own[0]), min(int(own[-1]) + 2, len(strides))
+        s = _sums(strides[lo:hi], part.table, useful)
+        follow, last = np.minimum(own + 1, len(strides) - 1), inner[own]
+        z = s[own - lo]
+        z[last] += s[follow[last] - lo]
+        sims = z / np.sqrt(np.maximum(square[own] + np.where(last, square[follow], 0), 1e-9))[:, None]
         for i, p in zip(*np.nonzero(sims >= COSINE), strict=True):
             k = at + int(i)
             text, mask, n = int(owner[k]), part.masks[p], len(part.passages[p])
             near = -(-n // STRIDE) - 1
-            lo, hi = max(first[text], starts[k] - near), min(first[text + 1], starts[k] + 2 + near)
-            region = strides[lo:hi].ravel()
+            begin, end = max(first[text], starts[k] - near), min(first[text + 1], starts[k] + 2 + near)
+            region = strides[begin:end].ravel()
             region = region[region > 0].tolist()
             share = common_length(region, mask, n) / n
             if share < WEAK:
@@ -268,7 +278,7 @@ def matches(codes: list[bytes | np.ndarray], part: Part) -> list[tuple[int, int,
                 if common_length(region, tail, a) < a / 2:
                     continue
             if share > best.get((text, int(p)), (0,))[0]:
-                best[text, int(p)] = (share, float(sims[i, p]), int((lo - first[text]) * STRIDE))
+                best[text, int(p)] = (share, float(sims[i, p]), int((begin - first[text]) * STRIDE))
     return [(t, p, *v) for (t, p), v in sorted(best.items())]
 
 
