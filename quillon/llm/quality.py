@@ -1,6 +1,7 @@
 """Quality classifier: similarity-weighted votes of labelled neighbours in a latent space.
 
-Terms are hashed byte trigrams of the whole text. A bounded sample of labelled documents
+Terms are hashed byte trigrams of the whole text; a vector's last coordinate is the share of words
+that repeat the word before, which word frequencies do not show. A bounded sample of labelled documents
 (``per_label`` of each label, a documented parameter) gives the inverse document frequencies, a
 randomised SVD of its TF-IDF matrix gives the latent space, and the sample's latent vectors with
 their labels are broadcast: a few megabytes fixed by the parameters, not by the input. Every
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from quillon.llm.common import arrow_map, keyed, slices, text_or_empty
 from quillon.llm.langid import bounded_sample
 
-TERMS, RANK, NEIGHBOURS, SHARPNESS = 4096, 64, 25, 6.0
+TERMS, RANK, NEIGHBOURS, SHARPNESS, REPEATS = 4096, 64, 25, 6.0, 2.0
 
 
 def term_counts(texts: list[str]) -> np.ndarray:
@@ -42,6 +44,16 @@ def term_counts(texts: list[str]) -> np.ndarray:
     return np.bincount(owner[:-2][inside] * TERMS + h[inside], minlength=len(texts) * TERMS).reshape(-1, TERMS)
 
 
+def repeated(texts: list[str]) -> np.ndarray:
+    """The share of words that equal the word before."""
+    out = np.zeros(len(texts), dtype=np.float32)
+    for i, t in enumerate(texts):
+        w = t.lower().split()
+        if len(w) > 1:
+            out[i] = sum(map(eq, w, w[1:])) / (len(w) - 1)
+    return out
+
+
 @dataclass
 class Neighbours:
     idf: np.ndarray
@@ -51,14 +63,16 @@ class Neighbours:
     votes: np.ndarray  # rows each labelled document stands for
     mean: float
 
-    def latent(self, counts: np.ndarray) -> np.ndarray:
+    def latent(self, counts: np.ndarray, repeats: np.ndarray) -> np.ndarray:
         x = np.log1p(counts).astype(np.float32) * self.idf
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
         z = x @ self.basis
+        z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
+        z = np.concatenate((z, REPEATS * repeats[:, None]), 1)
         return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
 
     def score(self, texts: list[str]) -> np.ndarray:
-        z = self.latent(term_counts(texts))
+        z = self.latent(term_counts(texts), repeated(texts))
         sims = z @ self.vectors.T
         k = min(NEIGHBOURS, sims.shape[1])
         top = np.argpartition(-sims, k - 1, axis=1)[:, :k] if k < sims.shape[1] else np.tile(np.arange(k), (len(sims), 1))
@@ -88,10 +102,11 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = 2048) -> Neighbou
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, most_bytes=1 << 20):
-            packed = [zlib.compress(np.minimum(c, 65535).astype("<u2").tobytes(), 1) for b2 in [b.column("text").to_pylist()] for t in b2 for c in term_counts([t])]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.string()), b.column("quality"), pa.array(packed, pa.binary())], ["k", "quality", "x"])
+            texts = b.column("text").to_pylist()
+            packed = [zlib.compress(np.minimum(term_counts([t])[0], 65535).astype("<u2").tobytes(), 1) for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.string()), b.column("quality"), pa.array(packed, pa.binary()), pa.array(repeated(texts))], ["k", "quality", "x", "r"])
 
-    got = sorted(arrow_map(src, count, "k string, quality int, x binary").collect())
+    got = sorted(arrow_map(src, count, "k string, quality int, x binary, r float").collect())
     if not got:
         return None
     counts = np.stack([np.frombuffer(zlib.decompress(r["x"]), dtype="<u2") for r in got])
@@ -101,7 +116,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = 2048) -> Neighbou
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
     total = sum(sizes.values())
     model = Neighbours(idf, _basis(x, min(RANK, len(got))), np.zeros((0, 0)), y, np.ones(len(y)), sizes.get(1, 0) / total)
-    model.vectors = model.latent(counts)
+    model.vectors = model.latent(counts, np.array([r["r"] for r in got], dtype=np.float32))
     for label in (0, 1):
         own = y == label
         model.votes[own] = sizes.get(label, 0) / max(1, own.sum())
