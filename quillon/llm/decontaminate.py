@@ -35,7 +35,7 @@ from quillon.llm.common import arrow_map, cut, forget, keyed, slices
 
 WINDOW, STRIDE = 32, 16
 EXTRA, PART_PASSAGES, LONGEST = 24, 400, 40
-COMMON, EMPHASIS = 0.05, 100.0
+COMMON, EMPHASIS = 0.01, 100.0
 COSINE, STRONG, WEAK = 0.5, 0.8, 0.6
 
 _PUNCTUATION = r"[^\pL\pN]+"
