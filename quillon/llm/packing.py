@@ -14,6 +14,7 @@ piece; equal rows are packed as often as they occur; an empty table gives no row
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -25,8 +26,9 @@ from pyspark.sql import functions as F
 from quillon.llm.common import arrow_map, cut, keyed, slices, text_or_empty, width
 from quillon.llm.encoder import encoder
 
-#: Rounds of the multiplicative weights, and how fast a price falls with coverage.
-ROUNDS, ETA = 12, 1.5
+#: Rounds that only learn prices, rounds that count, knapsacks in a round, and how fast a price
+#: grows with the room its length wastes.
+WARM_UP, ROUNDS, SOLVED, ETA = 2, 4, 32, 2.0
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -78,37 +80,64 @@ def _taken(last: np.ndarray, room: int) -> list[int]:
     return out
 
 
-def configurations(histogram: np.ndarray, capacity: int, rounds: int = ROUNDS, eta: float = ETA) -> dict[tuple[int, ...], float]:
+def configurations(histogram: np.ndarray, capacity: int, eta: float = ETA) -> dict[tuple[int, ...], float]:
     """A fractional solution of the configuration program: how often to use each configuration.
 
-    Every round raises each length's coverage to the round's share. A length below it anchors
-    a configuration, longest first; the rest of the sequence is the knapsack optimum under
-    prices that start at the lengths and shrink as a length runs ahead of the others.
+    Prices begin as the lengths. A round covers each length by the round's share of its demand:
+    the longest that is short anchors a configuration, the rest of which is the knapsack optimum
+    under the prices of the lengths that are still short (solved anew ``SOLVED`` times a round at
+    most; between, covered ones are left out and the longest that fit take their room). It is
+    used until a length in it is covered. Then the price of a length grows exponentially with the
+    room that its configurations left free, so that it is placed earlier. The first rounds only learn.
     """
     lengths = np.flatnonzero(histogram)
     demand = histogram.astype(float)
-    covered = np.zeros(capacity + 1)
+    price = np.where(demand > 0, np.arange(capacity + 1.0), 0.0)
     used: dict[tuple[int, ...], float] = defaultdict(float)
-    weight = np.where(demand > 0, np.arange(capacity + 1.0), 0.0)
-    for t in range(1, rounds + 1):
-        ahead = np.zeros(capacity + 1)
-        ahead[lengths] = covered[lengths] / demand[lengths] - (t - 1) / rounds
-        _, last = _fill(weight * np.exp(-eta * np.clip(ahead, -20, 20)), capacity)
-        for anchor in lengths[::-1]:
-            short = t / rounds * demand[anchor] - covered[anchor]
-            if short <= 1e-9:
-                continue
-            config = [int(anchor), *_taken(last, capacity - int(anchor))]
-            own = config.count(int(anchor))
-            used[tuple(sorted(config, reverse=True))] += short / own
-            for length, n in Counter(config).items():
-                covered[length] += short / own * n
+    covered = np.zeros(capacity + 1)
+    step = -(-len(lengths) // SOLVED)
+    for t in range(1 - WARM_UP, ROUNDS + 1):
+        if t <= 1:
+            covered[:] = 0
+        target = max(t, 1) / ROUNDS * demand
+        before, waste = covered.copy(), np.zeros(capacity + 1)
+        stale, since, last = True, step, None
+        short = [int(x) for x in lengths if covered[x] < target[x] - 1e-9]  # ascending
+        while short:
+            if stale and since >= step:
+                _, last = _fill(np.where(covered < target - 1e-9, price, 0), capacity)
+                stale, since = False, 0
+            since += 1
+            config = [short[-1]]
+            room = capacity - short[-1]
+            for x in _taken(last, room):
+                if covered[x] < target[x] - 1e-9:
+                    config.append(x)
+                    room -= x
+            while (i := bisect_right(short, room)) > 0:  # where prices are stale, the longest that fits
+                config.append(short[i - 1])
+                room -= short[i - 1]
+            need = Counter(config)
+            times = min((target[x] - covered[x]) / k for x, k in need.items())
+            if t >= 1:
+                used[tuple(sorted(config, reverse=True))] += times
+            for x, k in need.items():
+                covered[x] += times * k
+                waste[x] += times * k * room
+                if covered[x] >= target[x] - 1e-9:
+                    short.remove(x)
+                    stale = True
+        lost = waste[lengths] / np.maximum((covered - before)[lengths], 1e-9) / capacity
+        price[lengths] *= np.exp(eta * (lost - lost.mean()))
     return used
 
 
-def best_fit(histogram: np.ndarray, capacity: int) -> dict[tuple[int, ...], int]:
-    """Best-fit decreasing on counts: sequences of equal content are one group."""
+def best_fit(histogram: np.ndarray, capacity: int, begun: dict[tuple[int, ...], int] | None = None) -> dict[tuple[int, ...], int]:
+    """Best-fit decreasing on counts: sequences of equal content are one group. ``begun`` are
+    sequences to fill up first."""
     groups: dict[int, dict[tuple[int, ...], int]] = defaultdict(dict)  # by room left
+    for content, k in (begun or {}).items():
+        groups[capacity - sum(content)][content] = k
     for length in np.flatnonzero(histogram)[::-1]:
         length, n = int(length), int(histogram[length])
         while n:
@@ -135,22 +164,29 @@ def best_fit(histogram: np.ndarray, capacity: int) -> dict[tuple[int, ...], int]
 
 
 def plan(histogram: np.ndarray, capacity: int) -> dict[tuple[int, ...], int]:
-    """Whole numbers of configurations that place exactly the pieces of the histogram."""
+    """Whole numbers of configurations that place exactly the pieces of the histogram.
+
+    The fractional numbers are rounded down, most used first; where a length has run out, its
+    places stay free. What is left is packed best-fit decreasing, into free places first. (If
+    best-fit decreasing alone happens to need fewer sequences, its result is taken.)
+    """
     left = histogram.astype(np.int64).copy()
-    out: dict[tuple[int, ...], int] = defaultdict(int)
-    if left[capacity]:
-        out[(capacity,)] = int(left[capacity])
-        left[capacity] = 0
+    full = int(left[capacity])
+    left[capacity] = 0
+    rest = left.copy()
+    begun: dict[tuple[int, ...], int] = defaultdict(int)
     used = configurations(left, capacity) if left.any() else {}
-    for config, x in sorted(used.items(), key=lambda c: (capacity - sum(c[0]), -c[1], c[0])):
+    for config, x in sorted(used.items(), key=lambda c: (-c[1], c[0])):
         need = Counter(config)
-        n = min(int(x), *(int(left[length]) // k for length, k in need.items()))
+        n = min(int(x), int(left[config[0]]) // need[config[0]])
         if n > 0:
-            out[config] += n
-            for length, k in need.items():
+            own = {length: min(k, int(left[length]) // n) for length, k in need.items()}
+            begun[tuple(length for length, k in own.items() for _ in range(k))] += n
+            for length, k in own.items():
                 left[length] -= n * k
-    for config, n in best_fit(left, capacity).items():
-        out[config] += n
+    out = min((best_fit(left, capacity, begun), best_fit(rest, capacity)), key=lambda c: sum(c.values()))
+    if full:
+        out[(capacity,)] = full
     return out
 
 
