@@ -3,7 +3,8 @@
 1. Documents become sequences of numbers of the benchmark's words (0: any other word), kept in
    the shared folder; every later pass reads those instead of the texts.
 2. Overlapping windows of ``WINDOW`` words are the passages. Their document frequencies give the
-   TF-IDF weights, over all passages; a term in over ``COMMON`` of them weighs nothing.
+   TF-IDF weights, over all passages; a term in over ``COMMON`` of them weighs nothing, unless it is one of the ``RARE`` rarest
+   terms of a benchmark passage.
 3. A randomised SVD of the TF-IDF matrix in one distributed pass: each task sums ``A'(A W)`` over
    its passages for a random ``W``, the sums are added by row, the benchmark's passages join with
    ``EMPHASIS`` times the energy of all others, and the driver finishes a Nystroem
@@ -35,7 +36,7 @@ from quillon.llm.common import arrow_map, cut, forget, keyed, slices
 
 WINDOW, STRIDE = 32, 16
 EXTRA, PART_PASSAGES, LONGEST = 24, 400, 40
-COMMON, EMPHASIS = 0.01, 100.0
+COMMON, RARE, EMPHASIS = 0.01, 4, 100.0
 COSINE, STRONG, WEAK = 0.5, 0.8, 0.6
 
 _PUNCTUATION = r"[^\pL\pN]+"
@@ -156,7 +157,10 @@ def weigh(codes: DataFrame, part: Part) -> None:
     df = np.zeros(n)
     for r in arrow_map(codes, run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).collect():  # the vocabulary at most
         df[r["w"]] = r["n"]
-    part.weights = np.where(df > COMMON * df[0] + 1, 0, np.log((1 + df[0]) / (1 + df))).astype(np.float32)
+    needed = {w for p in part.passages for w in sorted(set(p), key=lambda w: df[w])[:RARE]}
+    kept = df <= COMMON * df[0] + 1
+    kept[list(needed)] = True
+    part.weights = np.where(kept, np.log((1 + df[0]) / (1 + np.minimum(df, df[0]))) + 1e-3, 0).astype(np.float32)
     part.weights[0] = 0
 
 

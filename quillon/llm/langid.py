@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from quillon.llm.common import arrow_map, keyed, slices
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 8
+#: Training takes this many steps at least, however few windows there are.
+STEPS = 300
 
 
 def windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,7 +87,7 @@ class ByteCnn:
         m1, m2 = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
         step = 0
         share = len(y) / (len(self.classes) * np.maximum(np.bincount(y, minlength=len(self.classes)), 1))
-        for _ in range(epochs):
+        for _ in range(max(epochs, -(-STEPS // max(1, len(y) // batch)))):
             for idx in np.array_split(rng.permutation(len(y)), max(1, len(y) // batch)):
                 self._pairs.clear()
                 w, t = win[idx], y[idx]
