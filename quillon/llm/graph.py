@@ -17,13 +17,15 @@ from quillon.llm.common import cut, forget
 def components(edges: DataFrame) -> DataFrame:
     """``edges`` has long columns ``a`` and ``b``; returns ``v, root`` for every vertex that has
     an edge to another. ``root`` is one vertex of the component, the same for all its members."""
-    e = cut(edges.filter("a <> b").select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*").distinct(), "edges")
+    once = lambda df: df.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    both = lambda df: df.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
+    e = cut(once(edges), "edges")
     maps: list[DataFrame] = []
     for n in range(1 << 30):
         if e.isEmpty():
             break
         rank = lambda c: F.xxhash64(c, F.lit(n))  # noqa: B023, E731
-        least = e.groupBy("a").agg(F.min(F.struct(rank("b").alias("h"), F.col("b").alias("v"))).alias("m"))
+        least = both(e).groupBy("a").agg(F.min(F.struct(rank("b").alias("h"), F.col("b").alias("v"))).alias("m"))
         p = cut(least.select(F.col("a").alias("v"), F.when(F.struct(F.col("m.h"), F.col("m.v")) < F.struct(rank("a"), F.col("a")), F.col("m.v")).otherwise(F.col("a")).alias("root")), "parents")
         while True:
             up = p.select(F.col("v").alias("root"), F.col("root").alias("next"))
@@ -35,7 +37,7 @@ def components(edges: DataFrame) -> DataFrame:
         maps.append(p)
         side = lambda c: p.select(F.col("v").alias(c), F.col("root").alias(f"r{c}"))  # noqa: B023, E731
         half = cut(e.join(side("a"), "a").select(F.col("ra").alias("a"), "b"), "half")
-        new = cut(half.join(side("b"), "b").select("a", F.col("rb").alias("b")).filter("a <> b").distinct(), "edges")
+        new = cut(once(half.join(side("b"), "b").select("a", F.col("rb").alias("b"))), "edges")
         forget(e), forget(half)
         e = new
     if not maps:

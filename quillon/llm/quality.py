@@ -54,6 +54,14 @@ def repeated(texts: list[str]) -> np.ndarray:
     return out
 
 
+def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """TF-IDF rows of unit length."""
+    x = np.log1p(counts, dtype=np.float32)
+    x *= idf
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    return x
+
+
 @dataclass
 class Neighbours:
     idf: np.ndarray
@@ -64,8 +72,9 @@ class Neighbours:
     mean: float
 
     def latent(self, counts: np.ndarray, repeats: np.ndarray) -> np.ndarray:
-        x = np.log1p(counts).astype(np.float32) * self.idf
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+        return self.placed(weighted(counts, self.idf), repeats)
+
+    def placed(self, x: np.ndarray, repeats: np.ndarray) -> np.ndarray:
         z = x @ self.basis
         z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
         z = np.concatenate((z, REPEATS * repeats[:, None]), 1)
@@ -112,11 +121,10 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = 2048) -> Neighbou
     counts = np.stack([np.frombuffer(zlib.decompress(r["x"]), dtype="<u2") for r in got])
     y = np.array([r["quality"] for r in got], dtype=np.float64)
     idf = (np.log((1 + len(got)) / (1 + (counts > 0).sum(0))) + 1).astype(np.float32)
-    x = np.log1p(counts.astype(np.float32)) * idf
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    x = weighted(counts, idf)
     total = sum(sizes.values())
     model = Neighbours(idf, _basis(x, min(RANK, len(got))), np.zeros((0, 0)), y, np.ones(len(y)), sizes.get(1, 0) / total)
-    model.vectors = model.latent(counts, np.array([r["r"] for r in got], dtype=np.float32))
+    model.vectors = model.placed(x, np.array([r["r"] for r in got], dtype=np.float32))
     for label in (0, 1):
         own = y == label
         model.votes[own] = sizes.get(label, 0) / max(1, own.sum())
@@ -131,7 +139,7 @@ def score(docs: DataFrame, model: Neighbours | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for part in slices(batches, most_bytes=2 << 20):
+        for part in slices(batches, most_bytes=1 << 20):
             for at in range(0, part.num_rows, 256):
                 b = part.slice(at, 256)
                 texts = [t or "" for t in b.column("text").to_pylist()]

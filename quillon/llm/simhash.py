@@ -105,7 +105,12 @@ class _Sets:
 
 
 def _stars(sets: _Sets, n: int, ids: np.ndarray) -> tuple[list[int], list[int]]:
-    pairs = [(int(ids[r]), int(ids[i])) for i in range(n) if (r := sets.find(i)) != i]
+    """Each set as a star around its least id: the centre many buckets agree on."""
+    centre: dict[int, int] = {}
+    roots = [sets.find(i) for i in range(n)]
+    for i, r in enumerate(roots):
+        centre[r] = min(centre.get(r, int(ids[i])), int(ids[i]))
+    pairs = [(centre[r], int(ids[i])) for i, r in enumerate(roots) if centre[r] != ids[i]]
     return [a for a, _ in pairs], [b for _, b in pairs]
 
 
