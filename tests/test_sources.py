@@ -23,6 +23,10 @@ def test_round_trip(spark, tmp_path):
         load_index(spark, str(tmp_path / "ix"), expect={"author": "positional"})
     plan = again.postings_for("title", "two")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(field" in plan and "EqualTo(term,two)" in plan
+    plan = lambda q: Searcher(again).scored(q)._jdf.queryExecution().executedPlan().toString()
+    assert "positions" not in plan("two AND NOT mi*") and "StringStartsWith(term,mi)" in plan("mi*")
+    assert plan("two OR fish").count("Exchange") == 1 and "Join" not in plan("two OR fish") and "Join" in plan("NOT two")
+    assert "TakeOrderedAndProject" in Searcher(again).search("two")._jdf.queryExecution().executedPlan().toString()
 
 
 def test_streaming(spark, tmp_path):
