@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import posixpath
 import uuid
 from collections.abc import Callable, Iterator
@@ -71,15 +72,27 @@ def text_or_empty(c: str = "text") -> Column:
 
 
 def arrow_map(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
-    """``mapInArrow`` that skips empty batches."""
+    """``mapInArrow`` that skips empty batches and gives memory back at a task's end (workers
+    outlive their tasks, and two of them share an executor's memory with its heap)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from rows(b for b in batches if b.num_rows)
+        try:
+            yield from rows(b for b in batches if b.num_rows)
+        finally:
+            settle()
 
     return df.mapInArrow(run, schema)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def settle() -> None:
+    """Return memory that the allocators of this process hold but do not use."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose ``column`` holds about ``most_bytes`` (one row at least)."""
     for b in batches:
         size = b.column(column).nbytes

@@ -24,7 +24,7 @@ class WordEncoder(dict):
     """Maps a chunk to its ids' bytes. ``limit`` bounds the entries, so memory does not grow with
     the input."""
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 250_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
