@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions.highlight import Highlighter, format_fragment
+from quillon.functions.render import card
 from quillon.functions.score import no_score, term_frequency
 from quillon.model import Analyzer, Field, Schema, SearchRequest
 from quillon.operators.index import SearchIndex, build_index
@@ -296,3 +297,24 @@ def fragment_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _register("fragment_format", fragment_format, "SELECT n_nationkey, '<b>hello</b> <b>world</b>' AS fragment FROM nation")
+
+
+def hit_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("link"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+    shown = Highlighter().column(F.col("title"), "the")
+    return rows.select("page_id", card(F.col("title"), F.col("link"), shown).alias("card"))
+
+
+_register(
+    "hit_cards",
+    hit_cards,
+    """WITH p AS (SELECT page_id, url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t FROM pages),
+o AS (SELECT *, strpos(lower(t), 'the') - 1 AS off, length(t) AS len FROM p),
+w AS (SELECT *, greatest(off - 50, 0) AS start FROM o),
+e AS (SELECT *, regexp_extract(substr(t, start + 1), '^[^ \\n\\t.]*', 0) AS head FROM w),
+b AS (SELECT *, CASE WHEN off < 0 OR start = 0 OR len < 100 THEN 0 WHEN start + length(head) > off THEN start ELSE start + length(head) END AS begin FROM e),
+f AS (SELECT page_id, url, t, CASE WHEN off < 0 THEN substr(t, begin + 1) ELSE substr(t, begin + 1, off - begin) || '<b>' || substr(t, off + 1, 3) || '</b>' || substr(t, off + 4) END AS s FROM b),
+g AS (SELECT page_id, url, t, regexp_replace(s, '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g') AS s FROM f),
+h AS (SELECT page_id, url, t, CASE WHEN length(s) > 107 THEN substr(s, 1, 107) || '...' ELSE s END AS s FROM g)
+SELECT page_id, '<article><h3><a href="' || replace(url, '&', '&amp;') || '">' || replace(t, '&', '&amp;') || '</a></h3><p>' || replace(s, '&', '&amp;') || '</p></article>' AS card FROM h""",
+)

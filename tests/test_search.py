@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.analysis import tokenize, tokens_of
 from quillon.functions.highlight import Highlighter, format_fragment
+from quillon.functions.render import card
 from quillon.functions.score import no_score, term_frequency
 from quillon.model import Analyzer, Field, Schema, SearchError, SearchRequest
 from quillon.operators.index import build_index, numbered
@@ -289,3 +290,8 @@ def test_random_trees(spark):
     for _ in range(25):
         q = _random(rng, 2)
         assert ids(index, q) == [i for i, w in docs if _matches(q, w)], str(q)
+
+
+def test_card(spark):
+    row = spark.createDataFrame([('a < "b"', "/x?a&b", "1 > <b>0</b>")], "t string, l string, f string")
+    assert row.select(card(F.col("t"), F.col("l"), F.col("f"))).first()[0] == '<article><h3><a href="/x?a&amp;b">a &lt; &quot;b&quot;</a></h3><p>1 &gt; <b>0</b></p></article>'
