@@ -6,7 +6,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -73,11 +73,40 @@ def numbered(rows: DataFrame, *order: str) -> DataFrame:
     return rows.withColumn("doc_id", F.row_number().over(Window.orderBy(*order)))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _runs(tokens: Column, positions: Column) -> Column:
+    """The distinct tokens of one document with frequency and positions, in order: tokens are
+    sorted with their places, and each run of equal ones is a slice. Linear in the tokens."""
+    placed = F.sort_array(F.transform(tokens, lambda t, i: F.struct(t.alias("term"), i.alias("pos"))))
+
+    def starts(all_: Column) -> Column:
+        n = F.size(all_)
+        new = lambda i: (i < n) & ((i == 0) | (F.get(all_, i)["term"] != F.get(all_, i - 1)["term"]))
+        return F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), new)
+
+    def cut(p: Column) -> Column:
+        every, begin = p["all"], p["starts"]
+
+        def run(s: Column, j: Column) -> Column:
+            n = F.coalesce(F.get(begin, j + 1), F.size(every)) - s
+            at = F.when(positions, F.transform(F.slice(every, s + 1, n), lambda x: x["pos"]))
+            return F.struct(F.get(every, s)["term"].alias("term"), n.alias("tf"), at.alias("positions"))
+
+        return F.transform(begin, run)
+
+    return _let(placed, lambda a: _let(F.struct(a.alias("all"), starts(a).alias("starts")), cut))
+
+
 def build_index(rows: DataFrame, schema: Schema, key: str = "doc_id", values: Mapping[str, Column] | None = None) -> SearchIndex:
-    """Index ``rows``. A field's text is the column of its name or the expression in ``values``;
-    an array of strings is taken as tokens. Null values have no tokens.
+    """Index ``rows``, whose keys are unique. A field's text is the column of its name or the
+    expression in ``values``; an array of strings is taken as tokens. Null values have no tokens.
 
-    One exchange: tokens are exploded, counted within tasks, then by (field, term, doc_id).
+    A document's postings are made within its row, so building them shuffles nothing; only the
+    dictionary's counts are exchanged, pre-aggregated by task.
     """
     values = dict(values or {})
     src = rows.select(F.col(key).alias("doc_id"), *[values.get(f.name, F.col(f"`{f.name}`")).alias(f.name) for f in schema.fields])
@@ -85,14 +114,10 @@ def build_index(rows: DataFrame, schema: Schema, key: str = "doc_id", values: Ma
     for f in schema.fields:
         if kinds[f.name] not in ("string", "array<string>"):
             raise SearchError(f"Field '{f.name}' is {kinds[f.name]}; only strings can be indexed")
-    split = [F.struct(F.lit(f.name).alias("field"), F.lit(f.positions).alias("p"), (F.col(f"`{f.name}`") if kinds[f.name].startswith("array") else tokenize(F.col(f"`{f.name}`"), f.analyzer.lower_case)).alias("tokens")) for f in schema.fields]
-    tokens = src.select("doc_id", F.explode(F.array(*split)).alias("f")).select("doc_id", "f.field", "f.p", F.posexplode("f.tokens").alias("pos", "term"))
-    keys = ["field", "term", "doc_id"]
-    if any(f.positions for f in schema.fields):
-        grouped = tokens.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("tf"), F.sort_array(F.collect_list(F.when(F.col("p"), F.col("pos")))).alias("at"))
-        postings = grouped.select(*keys, "tf", F.when(F.size("at") > 0, F.col("at")).alias("positions"))
-    else:
-        postings = tokens.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("tf")).withColumn("positions", F.lit(None).cast("array<int>"))
+    tokens = lambda f: F.col(f"`{f.name}`") if kinds[f.name].startswith("array") else tokenize(F.col(f"`{f.name}`"), f.analyzer.lower_case)
+    split = [F.struct(F.lit(f.name).alias("field"), F.lit(f.positions).alias("p"), tokens(f).alias("tokens")) for f in schema.fields]
+    each = src.select("doc_id", F.explode(F.array(*split)).alias("f")).filter("f.tokens is not null")
+    postings = each.select("f.field", "doc_id", F.explode(_runs(F.col("f.tokens"), F.col("f.p"))).alias("r")).select("field", "r.term", "doc_id", "r.tf", "r.positions")
     terms = postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
     docs = src.select("doc_id", *[f"`{f}`" for f in schema.stored])
     return SearchIndex(schema, postings, terms, docs, rows.count())
