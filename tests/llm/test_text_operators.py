@@ -22,7 +22,7 @@ def prose(rng, n):
 
 
 def units(text):
-    return Counter(u for u in re.split(r"(?<=\n)|(?<=[.!?] )", text or "") if u)
+    return Counter(u for u in re.split(fingerprint.BREAK, text or "") if u)
 
 
 def jaccard(a, b):
@@ -32,7 +32,7 @@ def jaccard(a, b):
 
 def test_fingerprints(spark):
     rng = random.Random(1)
-    base = "\n".join(prose(rng, 5).replace("\n", " ") for _ in range(120))
+    base = "\n".join(prose(rng, 5).replace("\n", " ") + ". Elm" for _ in range(120))
     texts = [None, "", "x", "é" * 7 + "\n", base, base + "\nmore", base.replace("alder", "ash"), "a\na\na\nb", "a\na\nb", *[prose(rng, 30) for _ in range(20)], "same", "same"]
     rows = [(i * 7 % 31, t, i) for i, t in enumerate(texts)]
     out = fingerprint.compare(spark.createDataFrame(rows, "doc_id long, text string, k int").repartition(3)).collect()
