@@ -138,6 +138,50 @@ def test_near_duplicates(spark):
     assert near_duplicates.deduplicate(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("most", [256, 3])
+def test_near_duplicates_by_other_edits(spark, monkeypatch, most):
+    """Equal to brute force where texts are added, cut off or moved, down to the threshold."""
+    monkeypatch.setattr(near_duplicates, "MOST", most)
+    rng = random.Random(8)
+    word = lambda: rng.choice("abcdefghij") + str(rng.randint(0, 400))
+    common = [word() for _ in range(30)]
+    texts = []
+    for n in [60, 100, 200, 400, 800, 1500] * 3:
+        words = [word() for _ in range(n)] + (common if rng.random() < 0.5 else [])
+        n = len(words)
+        for share in (0.03, 0.1, 0.15, 0.19, 0.22, 0.24):
+            k, i = round(share * n), rng.randrange(n)
+            more = [word() for _ in range(k)]
+            texts.append(words[i:] + words[:i] if k % 2 else words)
+            texts += [words + more, more + words, words[: n - k], words[k:], words[:i] + more + words[i:]]
+    texts = [" ".join(t) for t in texts]
+    rng.shuffle(texts)
+    sets = [shingle_set(t) for t in texts]
+    s = Sets(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                s.join(i, j)
+    first = {}
+    for i in range(len(texts)):
+        first.setdefault(s.find(i), i)
+    got = {r["doc_id"]: r["group_id"] for r in near_duplicates.groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: first[s.find(i)] for i in range(len(texts))}
+
+
+def test_prefixes_meet():
+    """Pairs at the threshold share a shingle of their prefixes, with no order of rarity in favour."""
+    rng = np.random.default_rng(9)
+    for n in [*range(1, 40), 500]:
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        counts = rng.integers(0, 3, 64)
+        for cut in range(n // 5 + 1):
+            b = np.sort(rng.permutation(a)[cut:])
+            if len(b) and len(b) >= 0.8 * n:
+                assert set(near_duplicates.prefix(a, counts, 0.8).tolist()) & set(near_duplicates.prefix(b, counts, 0.8).tolist())
+
+
 def test_similar_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_duplicates, "BLOCK", 4)
     monkeypatch.setattr(near_duplicates, "MOST", 6)
