@@ -3,8 +3,7 @@
 1. Documents become sequences of numbers of the benchmark's words (0: any other word), kept in
    the shared folder; every later pass reads those instead of the texts.
 2. Overlapping windows of ``WINDOW`` words are the passages. Their document frequencies give the
-   TF-IDF weights, over all passages; a term in over ``COMMON`` of them weighs nothing, unless it is one of the ``RARE`` rarest
-   terms of a benchmark passage.
+   TF-IDF weights, over all passages: every term weighs, also one that a hot group of copies repeats.
 3. A randomised SVD of the TF-IDF matrix in one distributed pass: each task sums ``A'(A W)`` over
    its passages for a random ``W``, the sums are added by row, the benchmark's passages join with
    ``EMPHASIS`` times the energy of all others, and the driver finishes a Nystroem
@@ -36,7 +35,7 @@ from quillon.llm.common import arrow_map, cut, forget, keyed, slices
 
 WINDOW, STRIDE = 32, 16
 EXTRA, PART_PASSAGES, LONGEST = 24, 400, 40
-COMMON, RARE, EMPHASIS = 0.01, 4, 100.0
+EMPHASIS = 100.0
 COSINE, STRONG, WEAK = 0.5, 0.8, 0.6
 
 _PUNCTUATION = r"[^\pL\pN]+"
@@ -157,20 +156,15 @@ def weigh(codes: DataFrame, part: Part) -> None:
     df = np.zeros(n)
     for r in arrow_map(codes, run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).collect():  # the vocabulary at most
         df[r["w"]] = r["n"]
-    needed = {w for p in part.passages for w in sorted(set(p), key=lambda w: df[w])[:RARE]}
-    kept = df <= COMMON * df[0] + 1
-    kept[list(needed)] = True
-    part.weights = np.where(kept, np.log((1 + df[0]) / (1 + np.minimum(df, df[0]))) + 1e-3, 0).astype(np.float32)
+    part.weights = (np.log((1 + df[0]) / (1 + np.minimum(df, df[0]))) + 1e-3).astype(np.float32)
     part.weights[0] = 0
 
 
-def _sums(strides: np.ndarray, table: np.ndarray, useful: np.ndarray) -> np.ndarray:
-    """The table's rows summed over each stride's words; words that add nothing are skipped."""
+def _sums(strides: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The table's rows summed over each stride's words (row 0, of other words, is zero)."""
     out = np.zeros((len(strides), table.shape[1]), dtype=np.float32)
-    row, col = np.nonzero(useful[strides])
-    if len(row):
-        begin = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
-        out[row[begin]] = np.add.reduceat(table.take(strides[row, col], 0), begin, axis=0)
+    for words_ in strides.T:
+        out += table.take(words_, 0)
     return out
 
 
@@ -182,13 +176,12 @@ def decompose(codes: DataFrame, part: Part, seed: int = 9) -> None:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, weights = sent.value
-        useful = weights > 0
         total, energy = np.zeros(table.shape, dtype=np.float32), 0.0
         for _, strides, _ in _batches(batches):
-            for at in range(0, len(strides), 2048):
-                own = strides[at : at + 2048]
-                s = _sums(own, table, useful)
-                row, col = np.nonzero(useful[own])
+            for at in range(0, len(strides), 512):
+                own = strides[at : at + 512]
+                s = _sums(own, table)
+                row, col = np.nonzero(own)
                 word = own[row, col]
                 energy += float((weights[word] ** 2).sum())
                 order = np.argsort(word, kind="stable")
@@ -254,14 +247,13 @@ def matches(codes: list[bytes | np.ndarray], part: Part) -> list[tuple[int, int,
     starts = _windows(first)
     inner = np.ones(len(strides), dtype=bool)
     inner[first[1:] - 1] = False
-    useful = part.weights > 0
     square = (part.weights**2)[strides].sum(1)
     best: dict[tuple[int, int], tuple[float, float, int]] = {}
     owner = np.searchsorted(first, starts, side="right") - 1
     for at in range(0, len(starts), 2048):
         own = starts[at : at + 2048]
         lo, hi = int(own[0]), min(int(own[-1]) + 2, len(strides))
-        s = _sums(strides[lo:hi], part.table, useful)
+        s = _sums(strides[lo:hi], part.table)
         follow, last = np.minimum(own + 1, len(strides) - 1), inner[own]
         z = s[own - lo]
         z[last] += s[follow[last] - lo]

@@ -220,6 +220,23 @@ def test_common_length():
         assert decontaminate.common_length(a, mask, len(b)) == lcs(a, b)
 
 
+def test_passage_of_a_hot_group(spark):
+    """A passage that copies make common is found next to rare words of the benchmark."""
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(4))
+    text = lambda n: " ".join(word() + "x" for _ in range(n))
+    hot = [word() for _ in range(24)]
+    items = [(0, " ".join(hot)), *[(i, " ".join(word() for _ in range(24))) for i in range(1, 21)]]
+    docs = [*[(i, text(320)) for i in range(200)], *[(1000 + i, " ".join(hot)) for i in range(100)]]
+    for i in range(1, 21):
+        lost = rng.sample(range(24), 3)
+        passage = [word() if k in lost else w for k, w in enumerate(hot)]
+        docs.append((2000 + i, f"{text(80)} {' '.join(items[i][1].split()[:5])} {' '.join(passage)} {text(40)}"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert found == {(k, 0) for k, _ in docs if k >= 1000}
+
+
 def test_decontamination(spark):
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(2, 4)))
