@@ -77,6 +77,20 @@ def test_fingerprint_edges(spark):
     assert fingerprint.compare(one.limit(0)).count() == 0
 
 
+def test_fingerprints_without_line_breaks(spark):
+    """Sentences and long paragraphs without any mark keep what an edit leaves; keys are those of the expressions."""
+    rng = random.Random(3)
+    plain = lambda n: " ".join(rng.choice(WORDS) + str(rng.randint(0, 99)) for _ in range(n))
+    texts = [". ".join(plain(6) for _ in range(12)), plain(400), "".join(rng.choice("abcdefgh") for _ in range(3000)), ". ".join(plain(5) for _ in range(9))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in fingerprint.compare(df).collect()}
+    assert all(r["near_edited"] > 0.2 and r["near_edited"] > r["near_next"] for r in got.values())
+    for r in df.filter("doc_id in (0, 3)").select("doc_id", fingerprint.as_text(fingerprint.sketch(fingerprint.keys(F.col("text")))).alias("f")).collect():
+        assert got[r["doc_id"]]["fingerprint"] == r["f"]
+    for text in (*texts, "", "a. b! c\n\n"):
+        assert "".join(fingerprint.units(text)) == text
+
+
 # ---- 7: surrogates
 
 PRIVATE = [
