@@ -138,10 +138,10 @@ def test_near_duplicates(spark):
     assert near_duplicates.deduplicate(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("most", [256, 3])
-def test_near_duplicates_by_other_edits(spark, monkeypatch, most):
+@pytest.mark.parametrize("wider", [8, 2])
+def test_near_duplicates_by_other_edits(spark, monkeypatch, wider):
     """Equal to brute force where texts are added, cut off or moved, down to the threshold."""
-    monkeypatch.setattr(near_duplicates, "MOST", most)
+    monkeypatch.setattr(near_duplicates, "WIDER", wider)
     rng = random.Random(8)
     word = lambda: rng.choice("abcdefghij") + str(rng.randint(0, 400))
     common = [word() for _ in range(30)]
@@ -182,15 +182,71 @@ def test_prefixes_meet():
                 assert set(near_duplicates.prefix(a, counts, 0.8).tolist()) & set(near_duplicates.prefix(b, counts, 0.8).tolist())
 
 
-def test_similar_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(near_duplicates, "BLOCK", 4)
-    monkeypatch.setattr(near_duplicates, "MOST", 6)
+def test_similar():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 5, 40, 300):
+        for _ in range(50):
+            a, b = (np.unique(rng.integers(0, max(2, n + n // 4), n, dtype=np.uint64)) for _ in range(2))
+            both = len(np.intersect1d(a, b))
+            assert near_duplicates.similar(a, b, 0.8) == (both >= 0.8 * (len(a) + len(b) - both) - 1e-9)
+            differ = sum(int(np.bitwise_count(x)) for x in near_duplicates.parities(a).view(np.uint64) ^ near_duplicates.parities(b).view(np.uint64))
+            assert differ <= len(a) + len(b) - 2 * both
+    none = np.zeros(0, dtype=np.uint64)
+    assert near_duplicates.similar(none, none, 0.8) and not near_duplicates.similar(none, np.ones(1, dtype=np.uint64), 0.8)
+
+
+def test_chain_of_near_copies(spark, monkeypatch):
+    """A chain, whose ends are not similar, is one group; shares of a pivot's texts are dealt apart."""
+    monkeypatch.setattr(near_duplicates, "SHARE", 4)
     words = [f"w{i}" for i in range(200)]
-    texts = [" ".join(w if j != 2 * i else "x" for j, w in enumerate(words)) for i in range(40)]
+    texts = [" ".join(w if j not in range(2 * i) else f"x{j}" for j, w in enumerate(words)) for i in range(40)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r["group_id"] for r in near_duplicates.groups(docs).collect()} == {0}
 
 
+def test_large_group_is_compared_in_proportion(spark, monkeypatch):
+    """A text and m copies with an edit each: comparisons grow with m, not with its square."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(150)]
+    seen = {}
+    real = near_duplicates.verified
+
+    def counted(pairs, *rest):
+        seen[m] = seen.get(m, 0) + pairs.count()
+        return real(pairs, *rest)
+
+    monkeypatch.setattr(near_duplicates, "verified", counted)
+    for m in (64, 512):
+        texts = [" ".join(words)]
+        for i in range(m):
+            new = list(words)
+            for _ in range(3):
+                new[rng.randrange(150)] = f"edit{rng.randint(0, 10**6)}"
+            texts.append(" ".join(new))
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        assert {r["group_id"] for r in near_duplicates.groups(docs).collect()} == {0}
+        assert seen[m] <= 8 * m
+    assert seen[512] <= 1.5 * 8 * seen[64]
+
+
+def test_ids_that_repeat(spark):
+    """Rows that share an id are judged by their own texts; nothing distinct is lost."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (1, b), (1, b), (2, a + " end"), (3, c), (3, a), (2, c)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("v", F.lit("clash"))
+    got = near_duplicates.deduplicate(docs)
+    assert got.columns == docs.columns
+    assert sorted((r["doc_id"], r["text"]) for r in got.collect()) == sorted([(1, a), (1, b), (2, c)])
+
+
+def test_near_duplicates_of_very_long_texts(spark):
+    rng = random.Random(12)
+    words = [f"w{rng.randint(0, 5000)}" for _ in range(60_000)]
+    texts = [" ".join(words), " ".join(words[:-5000]), " ".join(words[30_000:]), "x" * 300_000]
+    got = {r["doc_id"]: r["group_id"] for r in near_duplicates.groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 3}
+
+
 # ---- 5: web archives
 
 
