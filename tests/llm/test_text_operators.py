@@ -52,20 +52,56 @@ def test_fingerprints(spark):
     assert len(set(seen.values())) == len(seen)
 
 
-def test_sketch_algebra(spark):
-    """Peeling a subtraction gives just the keys that differ, or null."""
+def test_peeling():
+    """Peeling a subtraction gives just the keys that differ, or None."""
     rng = random.Random(2)
-    rows = []
-    for i in range(60):
-        common = [rng.getrandbits(62) for _ in range(40)]
-        rows.append((i, [f"{x}" for x in common] + [f"a{j}" for j in range(i % 4)], [f"{x}" for x in common] + [f"b{j}" for j in range(i % 3)]))
-    df = spark.createDataFrame(rows, "i int, a array<string>, b array<string>").select("i", *[fingerprint.keys(F.array_join(c, "\n")).alias(c) for c in "ab"])
-    cells = 16
-    got = df.select("i", "a", "b", fingerprint.peel(fingerprint.subtract(fingerprint.sketch(F.col("a"), cells), fingerprint.sketch(F.col("b"), cells)), cells).alias("d")).collect()
-    peeled = [r for r in got if r["d"]]
-    assert len(peeled) > 50
-    for r in peeled:
-        assert set(r["d"]["plus"]) == set(r["a"]) - set(r["b"]) and set(r["d"]["minus"]) == set(r["b"]) - set(r["a"])
+    key = lambda: (h := rng.getrandbits(48)) << 16 | fingerprint._hash(h.to_bytes(8, "little")) & 0xFFFF
+    good = 0
+    for i in range(200):
+        common, a, b = ({key() for _ in range(n)} for n in (40, i % 9, i % 7))
+        got = fingerprint.peel(fingerprint.sketch(common | a, 4), fingerprint.sketch(common | b, 4), 4)
+        assert got is None or got == (a, b)
+        good += got is not None
+    assert good > 180
+    assert fingerprint.peel(fingerprint.sketch({key() for _ in range(99)}, 3), {}, 3) is None
+
+
+def test_likeness_from_the_strings_alone(spark):
+    rng = random.Random(6)
+    texts = [". ".join(rng.choice(WORDS) + str(rng.randint(0, 60)) for _ in range(n)) for n in (0, 1, 2, 5, 30, 33, 200, 230, 1000) for _ in range(3)]
+    out = {r["doc_id"]: r for r in fingerprint.compare(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    held, n = 0, len(texts)
+    for i, r in out.items():
+        for other, near in ((r["edited_fingerprint"], r["near_edited"]), (out[(i - 1) % n]["fingerprint"], r["near_next"])):
+            try:
+                assert fingerprint.likeness_of(r["fingerprint"], other) == pytest.approx(near)
+                held += 1
+            except ValueError:
+                pass
+    assert held >= 0.9 * 2 * n
+
+
+@pytest.mark.parametrize("bits", [4, 9])
+def test_cells_that_are_shared(spark, monkeypatch, bits):
+    """Likeness is exact where a pair's keys share cells and several passes are needed."""
+    monkeypatch.setattr(fingerprint, "BITS", bits)
+    rng = random.Random(7)
+    texts = ["\n".join(f"{rng.choice(WORDS)} {rng.randint(0, 40)}" for _ in range(n)) for n in (300, 310, 600, 900, 400)]
+    got = {r["doc_id"]: r for r in fingerprint.compare(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, r in got.items():
+        assert r["near_next"] == pytest.approx(jaccard(texts[i], texts[(i - 1) % 5]))
+
+
+def test_fingerprint_of_very_long_text(spark):
+    rng = random.Random(8)
+    long = "\n".join(f"{rng.choice(WORDS)} {rng.randint(0, 10**6)}" for _ in range(60_000))
+    got = {r["doc_id"]: r for r in fingerprint.compare(spark.createDataFrame([(1, long), (2, long + "\nend"), (3, "x")], "doc_id long, text string")).collect()}
+    assert got[2]["near_next"] == pytest.approx(jaccard(long + "\nend", long)) and got[3]["near_next"] == 0.0
+
+
+def test_fingerprints_shuffle_the_texts_only(spark):
+    plan = fingerprint.compare(spark.createDataFrame([(1, "a")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Python" not in plan and "Arrow" not in plan
 
 
 def test_fingerprint_edges(spark):
@@ -78,17 +114,17 @@ def test_fingerprint_edges(spark):
 
 
 def test_fingerprints_without_line_breaks(spark):
-    """Sentences and long paragraphs without any mark keep what an edit leaves; keys are those of the expressions."""
+    """Sentences and long paragraphs without any mark keep what an edit leaves."""
     rng = random.Random(3)
     plain = lambda n: " ".join(rng.choice(WORDS) + str(rng.randint(0, 99)) for _ in range(n))
     texts = [". ".join(plain(6) for _ in range(12)), plain(400), "".join(rng.choice("abcdefgh") for _ in range(3000)), ". ".join(plain(5) for _ in range(9))]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r for r in fingerprint.compare(df).collect()}
     assert all(r["near_edited"] > 0.2 and r["near_edited"] > r["near_next"] for r in got.values())
-    for r in df.filter("doc_id in (0, 3)").select("doc_id", fingerprint.as_text(fingerprint.sketch(fingerprint.keys(F.col("text")))).alias("f")).collect():
-        assert got[r["doc_id"]]["fingerprint"] == r["f"]
-    for text in (*texts, "", "a. b! c\n\n"):
-        assert "".join(fingerprint.units(text)) == text
+    more = spark.createDataFrame([(t,) for t in (*texts, "", "a. b! c\n\n", "😀" * 700)], "text string")
+    for r in more.select("text", fingerprint.units(F.col("text")).alias("u")).collect():
+        assert "".join(r["u"]) == r["text"] and all(r["u"])
+        assert len(r["text"]) < 700 or len(r["u"]) > 5 or "😀" in r["text"]
 
 
 # ---- 7: surrogates
