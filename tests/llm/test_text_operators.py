@@ -99,9 +99,16 @@ def test_fingerprint_of_very_long_text(spark):
     assert got[2]["near_next"] == pytest.approx(jaccard(long + "\nend", long)) and got[3]["near_next"] == 0.0
 
 
-def test_fingerprints_shuffle_the_texts_only(spark):
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 7, 16, 50])
+def test_bucket(spark, n):
+    cuts = sorted(random.Random(n).sample(range(100), n))
+    got = spark.range(-1, 102).select("id", fingerprint._bucket(cuts, F.col("id")).alias("b")).collect()
+    assert all(r["b"] == sum(c < r["id"] for c in cuts) for r in got)
+
+
+def test_fingerprints_shuffle_texts_and_digests_only(spark):
     plan = fingerprint.compare(spark.createDataFrame([(1, "a")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange ") == 1 and "Python" not in plan and "Arrow" not in plan
+    assert plan.count("Exchange ") == 2 and "Python" not in plan and "Arrow" not in plan
 
 
 def test_fingerprint_edges(spark):
