@@ -22,7 +22,7 @@ def prose(rng, n):
 
 
 def units(text):
-    return Counter(u for u in re.split(fingerprint.BREAK, text or "") if u)
+    return Counter(u for u in re.split(r"(?<=\n)|(?<=[.!?] )", text or "") if u)
 
 
 def jaccard(a, b):
@@ -81,10 +81,11 @@ def test_likeness_from_the_strings_alone(spark):
     assert held >= 0.9 * 2 * n
 
 
-@pytest.mark.parametrize("bits", [4, 9])
-def test_cells_that_are_shared(spark, monkeypatch, bits):
+@pytest.mark.parametrize("bits, rows", [(4, 3), (16, 2)])
+def test_cells_that_are_shared(spark, monkeypatch, bits, rows):
     """Likeness is exact where a pair's keys share cells and several passes are needed."""
-    monkeypatch.setattr(fingerprint, "BITS", bits)
+    for name, x in (("BITS", bits), ("EACH", 8 if rows == 3 else 64), ("PAIR_ROWS", rows), ("PASSES", 7)):
+        monkeypatch.setattr(fingerprint, name, x)
     rng = random.Random(7)
     texts = ["\n".join(f"{rng.choice(WORDS)} {rng.randint(0, 40)}" for _ in range(n)) for n in (300, 310, 600, 900, 400)]
     got = {r["doc_id"]: r for r in fingerprint.compare(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
