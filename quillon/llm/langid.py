@@ -125,20 +125,23 @@ class ByteCnn:
         return [self.classes[i] for i in best], p[np.arange(len(texts)), best]
 
 
-def bounded_sample(rows: DataFrame, label: str, key: str, most: int) -> DataFrame:
-    """About ``most`` rows of each label at most, chosen by the key's hash: every row of a rare
-    label, an even share of a common one. One aggregation over labels, no sort."""
-    counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("__q_n"))
-    share = F.least(F.lit(1.0), F.lit(float(most)) / F.col("__q_n"))
-    rates = counts.select(label, share.alias("__q_rate"))
-    draw = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return rows.join(rates, label).filter(draw < F.col("__q_rate")).drop("__q_rate")
+def bounded_sample(rows: DataFrame, label: str, keys: list[str], most: int) -> DataFrame:
+    """About ``most`` rows of each label at most, no two with the same ``keys``: every row of a rare
+    label, an even share of a common one, drawn by the keys' hash. Shares come to the driver (a
+    number for each label; labels are few) and go into the filter, so only drawn rows are shuffled."""
+    names = [F.col(c).cast("string") for c in keys]
+    counts = rows.groupBy(label).agg(F.approx_count_distinct(F.xxhash64(*names), 0.02).alias("n")).collect()
+    share = F.lit(0.0)
+    for r in counts:
+        share = F.when(F.col(label) == F.lit(r[label]), F.lit(most / max(r["n"], most))).otherwise(share)
+    draw = F.pmod(F.xxhash64(*names, F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return rows.filter(draw < share).dropDuplicates([label, *keys])
 
 
 def train(labelled: DataFrame, per_language: int = 600, per_text: int = 8) -> ByteCnn | None:
     """Fit on ``doc_id, text, lang`` rows: about ``per_language`` texts of each language, and of
     each up to ``per_text`` windows spread evenly over it."""
-    rows = bounded_sample(keyed(labelled, "doc_id", "text", "lang").filter("text is not null and lang is not null"), "lang", "doc_id", per_language)
+    rows = bounded_sample(keyed(labelled, "doc_id", "text", "lang").filter("text is not null and lang is not null"), "lang", ["doc_id", "text"], per_language)
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):

@@ -1,7 +1,8 @@
 """Quality classifier: similarity-weighted votes of labelled neighbours in a latent space.
 
-Terms are hashed byte trigrams of the whole text; a vector's last coordinate is the share of words
-that repeat the word before, which word frequencies do not show. A bounded sample of labelled documents
+Terms are of two kinds, each hashed and counted over the whole text: byte trigrams, and pairs of
+successive words by their shapes (which classes of characters a word runs through, and whether it
+is the word before it again). A bounded sample of labelled documents
 (``per_label`` of each label, a documented parameter) gives the inverse document frequencies, a
 randomised SVD of its TF-IDF matrix gives the latent space, and the sample's latent vectors with
 their labels are broadcast: a few megabytes fixed by the parameters, not by the input. Every
@@ -10,7 +11,10 @@ nearest ``k`` vote with their similarities. Where one label was sampled more thi
 other, its votes count for the rows they stand for.
 
 Defined results: null or empty text has no similarity to anything and scores the labelled rows'
-mean; without labelled rows every score is 0.5; several labels of one document count as the least.
+mean; without labelled rows every score is 0.5; several labels of one document count as the least, of
+labelled rows that share an id the least text is learnt from; ties between neighbours go by their order;
+equal texts score alike; very long texts are counted whole; other columns pass through, but none may
+begin with ``__q_``.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +30,31 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import arrow_map, keyed, slices, text_or_empty
+from quillon.llm.common import PRIVATE, arrow_map, keyed, slices, text_or_empty
 from quillon.llm.langid import bounded_sample
 
-TERMS, RANK, NEIGHBOURS, SHARPNESS, REPEATS = 4096, 64, 25, 6.0, 2.0
+TERMS, SHAPES, RANK, NEIGHBOURS, SHARPNESS = 4096, 1024, 64, 25, 6.0
+#: Weight of the trigrams' share of a vector against that of the shapes.
+TRIGRAMS = 0.5
+#: Words whose shapes a task remembers.
+REMEMBERED = 1 << 17
 
 
-def term_counts(texts: list[str]) -> np.ndarray:
+class _Shapes(dict):
+    """A number for each word's shape: letters, digits, each kind of mark, once for each run."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        runs = re.sub(r"(.)\1+", r"\1", re.sub(r"[^\W\d_]+", "a", re.sub(r"\d+", "0", word[:64])))
+        self[word] = shape = zlib.crc32(runs[:4].encode("utf-8", "surrogatepass"))
+        return shape
+
+
+_shapes = _Shapes()
+
+
+def trigram_counts(texts: list[str]) -> np.ndarray:
     """Hashed byte-trigram counts, a row for each text."""
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
     size = np.array([len(r) for r in raw])
@@ -44,44 +67,46 @@ def term_counts(texts: list[str]) -> np.ndarray:
     return np.bincount(owner[:-2][inside] * TERMS + h[inside], minlength=len(texts) * TERMS).reshape(-1, TERMS)
 
 
-def repeated(texts: list[str]) -> np.ndarray:
-    """The share of words that equal the word before."""
-    out = np.zeros(len(texts), dtype=np.float32)
+def shape_counts(texts: list[str]) -> np.ndarray:
+    """Hashed counts of pairs of successive words' shapes, a row for each text."""
+    out = np.zeros((len(texts), SHAPES), dtype=np.int64)
     for i, t in enumerate(texts):
-        w = t.lower().split()
-        if len(w) > 1:
-            out[i] = sum(map(eq, w, w[1:])) / (len(w) - 1)
+        words = t.split()
+        if len(words) > 1:
+            low = list(map(str.lower, words))
+            shape = np.fromiter(map(_shapes.__getitem__, words), np.uint32, len(words))
+            again = np.fromiter(map(eq, low, low[1:]), bool, len(words) - 1)
+            shape[1:][again] ^= np.uint32(0x5BD1E995)
+            pair = (shape[:-1] * np.uint32(31) + shape[1:]) * np.uint32(2654435761)
+            out[i] = np.bincount(pair >> np.uint32(22), minlength=SHAPES)
     return out
 
 
+def term_counts(texts: list[str]) -> np.ndarray:
+    return np.concatenate((trigram_counts(texts), shape_counts(texts)), 1)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+
+
 def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """TF-IDF rows of unit length."""
-    x = np.log1p(counts, dtype=np.float32)
-    x *= idf
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-    return x
+    """TF-IDF rows of unit length, each kind of terms with its weight."""
+    x = np.log1p(counts, dtype=np.float32) * idf
+    return _unit(np.concatenate((TRIGRAMS * _unit(x[:, :TERMS]), _unit(x[:, TERMS:])), 1))
 
 
 @dataclass
 class Neighbours:
     idf: np.ndarray
-    basis: np.ndarray  # (TERMS, RANK)
+    basis: np.ndarray  # (TERMS + SHAPES, RANK)
     vectors: np.ndarray  # (labelled, RANK), of unit length
     labels: np.ndarray
     votes: np.ndarray  # rows each labelled document stands for
     mean: float
 
-    def latent(self, counts: np.ndarray, repeats: np.ndarray) -> np.ndarray:
-        return self.placed(weighted(counts, self.idf), repeats)
-
-    def placed(self, x: np.ndarray, repeats: np.ndarray) -> np.ndarray:
-        z = x @ self.basis
-        z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
-        z = np.concatenate((z, REPEATS * repeats[:, None]), 1)
-        return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
-
     def score(self, texts: list[str]) -> np.ndarray:
-        z = self.latent(term_counts(texts), repeated(texts))
+        z = _unit(weighted(term_counts(texts), self.idf) @ self.basis)
         sims = z @ self.vectors.T
         k = min(NEIGHBOURS, sims.shape[1])
         top = np.argpartition(-sims, k - 1, axis=1)[:, :k] if k < sims.shape[1] else np.tile(np.arange(k), (len(sims), 1))
@@ -106,16 +131,20 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = 2048) -> Neighbou
     """Fit on the rows of ``labels`` (``doc_id, quality``) with a text in ``docs``."""
     marked = keyed(labels, "doc_id", "quality").filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     sizes = {r["quality"]: r["n"] for r in marked.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
-    some = bounded_sample(marked, "quality", "doc_id", per_label)
-    src = keyed(docs, "doc_id", "text").select("doc_id", text_or_empty().alias("text")).join(F.broadcast(some), "doc_id")  # about 2 x per_label rows
+    some = bounded_sample(marked, "quality", ["doc_id"], per_label).collect()  # about 2 x per_label rows
+    if not some:
+        return None
+    chosen = docs.sparkSession.createDataFrame(some, marked.schema)
+    src = keyed(docs, "doc_id", "text").select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id")
+    src = src.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, most_bytes=1 << 20):
             texts = b.column("text").to_pylist()
             packed = [zlib.compress(np.minimum(term_counts([t])[0], 65535).astype("<u2").tobytes(), 1) for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.string()), b.column("quality"), pa.array(packed, pa.binary()), pa.array(repeated(texts))], ["k", "quality", "x", "r"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.string()), b.column("quality"), pa.array(packed, pa.binary())], ["k", "quality", "x"])
 
-    got = sorted(arrow_map(src, count, "k string, quality int, x binary, r float").collect())
+    got = sorted(arrow_map(src, count, "k string, quality int, x binary").collect())
     if not got:
         return None
     counts = np.stack([np.frombuffer(zlib.decompress(r["x"]), dtype="<u2") for r in got])
@@ -123,8 +152,8 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = 2048) -> Neighbou
     idf = (np.log((1 + len(got)) / (1 + (counts > 0).sum(0))) + 1).astype(np.float32)
     x = weighted(counts, idf)
     total = sum(sizes.values())
-    model = Neighbours(idf, _basis(x, min(RANK, len(got))), np.zeros((0, 0)), y, np.ones(len(y)), sizes.get(1, 0) / total)
-    model.vectors = model.placed(x, np.array([r["r"] for r in got], dtype=np.float32))
+    basis = _basis(x, min(RANK, len(got)))
+    model = Neighbours(idf, basis, _unit(x @ basis), y, np.ones(len(y)), sizes.get(1, 0) / total)
     for label in (0, 1):
         own = y == label
         model.votes[own] = sizes.get(label, 0) / max(1, own.sum())
@@ -134,6 +163,8 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = 2048) -> Neighbou
 def score(docs: DataFrame, model: Neighbours | None) -> DataFrame:
     """``doc_id, score`` for every row of ``docs`` (``doc_id, text``), and its other columns."""
     names = docs.columns
+    if clash := [c for c in names if c.startswith(PRIVATE)]:
+        raise ValueError(f"columns may not begin with {PRIVATE}: {', '.join(clash)}")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 

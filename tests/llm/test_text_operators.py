@@ -259,11 +259,11 @@ def test_votes_are_exact():
     texts = ["".join(map(chr, rng.integers(97, 107, 200))) for _ in range(60)]
     counts = quality.term_counts(texts)
     assert counts.sum(1).tolist() == [198] * 60
-    assert quality.term_counts(["ab", "", "xyzxyz"]).sum(1).tolist() == [0, 0, 4]
-    idf = np.ones(quality.TERMS, np.float32)
+    assert quality.term_counts(["ab", "", "xyzxyz", "x y z"]).sum(1).tolist() == [0, 0, 4, 3 + 2]
+    idf = np.ones(quality.TERMS + quality.SHAPES, np.float32)
     x = quality.weighted(counts, idf)
-    m = quality.Neighbours(idf, quality._basis(x, 20), np.zeros(0), rng.integers(0, 2, 60).astype(float), np.ones(60), 0.5)
-    m.vectors = m.placed(x, np.zeros(60, np.float32))
+    basis = quality._basis(x, 20)
+    m = quality.Neighbours(idf, basis, quality._unit(x @ basis), rng.integers(0, 2, 60).astype(float), np.ones(60), 0.5)
     got = m.score(texts[:10])
     for i in range(10):
         sims = [float(m.vectors[i] @ v) for v in m.vectors]
@@ -272,6 +272,23 @@ def test_votes_are_exact():
         assert got[i] == pytest.approx(sum(a * m.labels[j] for a, j in zip(w, top, strict=True)) / sum(w), abs=1e-3)
 
 
+def test_shapes():
+    same = lambda *texts: len({quality.shape_counts([t]).tobytes() for t in texts}) == 1
+    assert same("ab cd, e1", "xyz q, word22", "É ß, ö7") and not same("ab cd", "ab ab") and not same("ab cd$", "ab cd")
+    assert same("ab AB", "xy xy") and not same("a b c", "a b")
+
+
+def test_sample_is_bounded_and_moves_no_text(spark):
+    rows = [(i % 500, f"text {i % 500}", "big") for i in range(5000)] + [(None, f"none {i}", "big") for i in range(500)] + [(1, "x", "small"), (1, "x", "small")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.bounded_sample(df, "lang", ["doc_id", "text"], 100).collect()
+    assert 60 <= sum(r["lang"] == "big" for r in got) <= 140 and len(set(got)) == len(got)
+    assert any(r["doc_id"] is None for r in got) and sum(r["lang"] == "small" for r in got) == 1
+    assert langid.bounded_sample(df.limit(0), "lang", ["doc_id"], 9).count() == 0
+    plan = langid.bounded_sample(df, "lang", ["doc_id", "text"], 100)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+
+
 def test_languages(spark):
     rng = random.Random(7)
     speak = {"xa": "the of and thing other that".split(), "xb": "der und nicht über ßig".split(), "xc": "être où ça quel été".split()}
