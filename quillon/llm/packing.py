@@ -3,17 +3,24 @@
 The number of sequences is the optimum of a configuration linear program: a configuration is a
 multiset of lengths that fits a sequence, and each length must be covered as often as it
 occurs. Only the length histogram (``capacity`` counts at most, whatever the input) reaches the
-driver. There, multiplicative weights set a price on each length, an unbounded-knapsack dynamic
-program over the capacity prices configurations, and the fractional solution is rounded down;
-what rounding leaves is packed best-fit decreasing, again on counts. Documents then take their
+driver. There, multiplicative weights set a price on each length: an unbounded-knapsack dynamic
+program over the capacity prices configurations, and a length whose configurations leave room
+free (they are worth less than the best one: its price is too low) has its price multiplied up. The prices,
+divided by the best configuration's, are a dual solution, whose value is a lower bound that comes
+with the result. The fractional solution is rounded: whole numbers of uses first, then the largest
+fractions up while their pieces last, and what is left is solved again until little changes. The
+few pieces left after that fill free places, best fit first. Documents then take their
 places by rank within their length: a rank is found in parallel from salted buckets.
 
 Defined results: null text is empty; every document has its end id, so none is without a
-piece; equal rows are packed as often as they occur; an empty table gives no rows.
+piece; equal rows are packed as often as they occur, null keys too; ties between pieces of one length
+go by key; a very long text is cut into pieces of ``capacity``; an empty table gives no rows; other
+columns of the documents are not read.
 """
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -29,6 +36,8 @@ from quillon.llm.encoder import encoder
 #: Rounds that only learn prices, rounds that count, knapsacks in a round, and how fast a price
 #: grows with the room its length wastes.
 WARM_UP, ROUNDS, SOLVED, ETA = 2, 4, 32, 2.0
+#: Room that a rounded configuration may waste: where one leaves over half of the pieces, the next holds.
+SPARE = (0, 1, 4, 32, 256)
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -80,14 +89,15 @@ def _taken(last: np.ndarray, room: int) -> list[int]:
     return out
 
 
-def configurations(histogram: np.ndarray, capacity: int, eta: float = ETA) -> dict[tuple[int, ...], float]:
-    """A fractional solution of the configuration program: how often to use each configuration.
+def configurations(histogram: np.ndarray, capacity: int, eta: float = ETA) -> tuple[dict[tuple[int, ...], float], float]:
+    """A fractional solution of the configuration program, how often to use each configuration, and
+    a lower bound of the number of sequences.
 
     Prices begin as the lengths. A round covers each length by the round's share of its demand:
     the longest that is short anchors a configuration, the rest of which is the knapsack optimum
     under the prices of the lengths that are still short (solved anew ``SOLVED`` times a round at
     most; between, covered ones are left out and the longest that fit take their room). It is
-    used until a length in it is covered. Then the price of a length grows exponentially with the
+    used until a length in it is covered. Then the price of a length is multiplied up by the
     room that its configurations left free, so that it is placed earlier. The first rounds only learn.
     """
     lengths = np.flatnonzero(histogram)
@@ -95,11 +105,12 @@ def configurations(histogram: np.ndarray, capacity: int, eta: float = ETA) -> di
     price = np.where(demand > 0, np.arange(capacity + 1.0), 0.0)
     used: dict[tuple[int, ...], float] = defaultdict(float)
     covered = np.zeros(capacity + 1)
-    step = -(-len(lengths) // SOLVED)
+    step, bound = -(-len(lengths) // SOLVED), 0.0
     for t in range(1 - WARM_UP, ROUNDS + 1):
         if t <= 1:
             covered[:] = 0
         target = max(t, 1) / ROUNDS * demand
+        bound = max(bound, float(demand @ price) / _fill(price, capacity)[0][capacity])  # a dual solution's value
         before, waste = covered.copy(), np.zeros(capacity + 1)
         stale, since, last = True, step, None
         short = [int(x) for x in lengths if covered[x] < target[x] - 1e-9]  # ascending
@@ -129,7 +140,7 @@ def configurations(histogram: np.ndarray, capacity: int, eta: float = ETA) -> di
                     stale = True
         lost = waste[lengths] / np.maximum((covered - before)[lengths], 1e-9) / capacity
         price[lengths] *= np.exp(eta * (lost - lost.mean()))
-    return used
+    return used, bound
 
 
 def best_fit(histogram: np.ndarray, capacity: int, begun: dict[tuple[int, ...], int] | None = None) -> dict[tuple[int, ...], int]:
@@ -163,31 +174,34 @@ def best_fit(histogram: np.ndarray, capacity: int, begun: dict[tuple[int, ...],
     return out
 
 
-def plan(histogram: np.ndarray, capacity: int) -> dict[tuple[int, ...], int]:
-    """Whole numbers of configurations that place exactly the pieces of the histogram.
-
-    The fractional numbers are rounded down, most used first; where a length has run out, its
-    places stay free. What is left is packed best-fit decreasing, into free places first. (If
-    best-fit decreasing alone happens to need fewer sequences, its result is taken.)
-    """
+def plan(histogram: np.ndarray, capacity: int) -> tuple[dict[tuple[int, ...], int], int]:
+    """Whole numbers of configurations that place exactly the pieces of the histogram, and the least
+    number of sequences that any packing of them needs by the first program's bound."""
     left = histogram.astype(np.int64).copy()
     full = int(left[capacity])
     left[capacity] = 0
-    rest = left.copy()
     begun: dict[tuple[int, ...], int] = defaultdict(int)
-    used = configurations(left, capacity) if left.any() else {}
-    for config, x in sorted(used.items(), key=lambda c: (-c[1], c[0])):
-        need = Counter(config)
-        n = min(int(x), int(left[config[0]]) // need[config[0]])
-        if n > 0:
-            own = {length: min(k, int(left[length]) // n) for length, k in need.items()}
-            begun[tuple(length for length, k in own.items() for _ in range(k))] += n
-            for length, k in own.items():
-                left[length] -= n * k
-    out = min((best_fit(left, capacity, begun), best_fit(rest, capacity)), key=lambda c: sum(c.values()))
+    least = 0.0
+    spare = list(SPARE)
+    while (before := int(left.sum())) and spare:
+        used, bound = configurations(left, capacity)
+        least = least or bound
+        tight = [(c, x) for c, x in used.items() if capacity - sum(c) <= spare[0]]
+        whole = sorted(((c, int(x)) for c, x in tight), key=lambda c: (-c[1], c[0]))
+        parts = sorted(((c, math.ceil(x - int(x))) for c, x in tight), key=lambda c: (int(used[c[0]]) - used[c[0]], c[0]))
+        for config, times in [*whole, *parts]:
+            need = Counter(config)
+            n = min(times, *[int(left[length]) // k for length, k in need.items()])
+            if n > 0:
+                begun[config] += n
+                for length, k in need.items():
+                    left[length] -= n * k
+        if int(left.sum()) > before / 2:
+            spare.pop(0)
+    out = best_fit(left, capacity, begun)
     if full:
         out[(capacity,)] = full
-    return out
+    return out, full + math.ceil(least - 1e-6)
 
 
 def _runs(configs: dict[tuple[int, ...], int]) -> dict[str, np.ndarray]:
@@ -219,7 +233,7 @@ def pack(items: DataFrame, capacity: int = 2048) -> DataFrame:
     histogram = np.zeros(capacity + 1, dtype=np.int64)
     for r in held.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect():  # capacity rows at most
         histogram[r["length"]] = r["n"]
-    runs = spark.sparkContext.broadcast(_runs(plan(histogram, capacity)))  # bounded by rounds x capacity configurations
+    runs = spark.sparkContext.broadcast(_runs(plan(histogram, capacity)[0]))  # bounded by rounds x capacity configurations
     before = Window.partitionBy("length").orderBy("__q_b").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("length", "__q_b", F.coalesce(F.sum("__q_n").over(before), F.lit(0)).alias("__q_base"))
     order = [c for c in ("doc_id", "piece", "start", "ids_crc32") if c in held.columns]

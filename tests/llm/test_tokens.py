@@ -82,7 +82,8 @@ def test_round_trip(spark, tmp_path, model):
 @given(st.lists(st.integers(1, 50), max_size=200))
 def test_plan_places_everything(lengths):
     h = np.bincount(lengths, minlength=51)
-    configs = packing.plan(h, 50)
+    configs, least = packing.plan(h, 50)
+    assert sum(configs.values()) >= least >= int((h * np.arange(51)).sum()) / 50 - 1
     placed = np.zeros(51, dtype=int)
     for c, n in configs.items():
         assert sum(c) <= 50 and n > 0
@@ -94,10 +95,31 @@ def test_plan_places_everything(lengths):
 def test_plan_is_tight():
     rng = np.random.default_rng(1)
     h = np.bincount(rng.integers(1, 2049, 20_000), minlength=2049)
-    assert sum(packing.plan(h, 2048).values()) <= 1.01 * int((h * np.arange(2049)).sum()) / 2048
+    configs, least = packing.plan(h, 2048)
+    assert least >= int((h * np.arange(2049)).sum()) / 2048 - 1e-6 and sum(configs.values()) <= 1.01 * least
     # best-fit decreasing pairs 700 with 700 and needs a sixth more here
     h = np.bincount([700] * 1000 + [690] * 1000 + [650] * 1000 + [3] * 1000, minlength=2049)
-    assert sum(packing.plan(h, 2048).values()) <= 1030 < sum(packing.best_fit(h, 2048).values())
+    configs, least = packing.plan(h, 2048)
+    assert sum(configs.values()) <= 1030 < sum(packing.best_fit(h, 2048).values()) and least <= sum(configs.values())
+
+
+def test_bound_is_one():
+    """No packing of small cases needs fewer sequences than the bound says."""
+    rng = np.random.default_rng(3)
+
+    def fewest(sizes, room, bins):
+        if not sizes:
+            return True
+        for i, r in enumerate(room):
+            if r >= sizes[0] and r not in room[:i] and fewest(sizes[1:], [*room[:i], r - sizes[0], *room[i + 1 :]], bins):
+                return True
+        return len(room) < bins and fewest(sizes[1:], [*room, 12 - sizes[0]], bins)
+
+    for _ in range(60):
+        sizes = sorted(rng.integers(1, 13, rng.integers(1, 9)).tolist(), reverse=True)
+        configs, least = packing.plan(np.bincount(sizes, minlength=13), 12)
+        n = next(k for k in range(1, 9) if fewest(sizes, [], k))
+        assert least <= n <= sum(configs.values()) <= n + 1
 
 
 def test_packing(spark, model):
