@@ -21,8 +21,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from operator import eq
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -36,22 +34,14 @@ from quillon.llm.langid import bounded_sample
 TERMS, SHAPES, RANK, NEIGHBOURS, SHARPNESS = 4096, 1024, 64, 25, 6.0
 #: Weight of the trigrams' share of a vector against that of the shapes.
 TRIGRAMS = 0.5
-#: Words whose shapes a task remembers.
-REMEMBERED = 1 << 17
-
-
-class _Shapes(dict):
-    """A number for each word's shape: letters, digits, each kind of mark, once for each run."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        runs = re.sub(r"(.)\1+", r"\1", re.sub(r"[^\W\d_]+", "a", re.sub(r"\d+", "0", word[:64])))
-        self[word] = shape = zlib.crc32(runs[:4].encode("utf-8", "surrogatepass"))
-        return shape
-
-
-_shapes = _Shapes()
+#: Runs of characters that make a word's shape, and the mark of a word that repeats the one before.
+RUNS, REPEATED = 4, np.uint32(0x5BD1E995)
+#: Classes of bytes: 0 white space, 1 letters (and all beyond ASCII), 2 digits, each other one by itself.
+_CLASS = np.arange(256, dtype=np.uint32) + 3
+_CLASS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+_CLASS[48:58] = 2
+_CLASS[[9, 10, 11, 12, 13, 32]] = 0
+_PLACES = np.random.default_rng(7).integers(0, 1 << 63, 64, dtype=np.uint64)
 
 
 def trigram_counts(texts: list[str]) -> np.ndarray:
@@ -69,17 +59,32 @@ def trigram_counts(texts: list[str]) -> np.ndarray:
 
 def shape_counts(texts: list[str]) -> np.ndarray:
     """Hashed counts of pairs of successive words' shapes, a row for each text."""
-    out = np.zeros((len(texts), SHAPES), dtype=np.int64)
-    for i, t in enumerate(texts):
-        words = t.split()
-        if len(words) > 1:
-            low = list(map(str.lower, words))
-            shape = np.fromiter(map(_shapes.__getitem__, words), np.uint32, len(words))
-            again = np.fromiter(map(eq, low, low[1:]), bool, len(words) - 1)
-            shape[1:][again] ^= np.uint32(0x5BD1E995)
-            pair = (shape[:-1] * np.uint32(31) + shape[1:]) * np.uint32(2654435761)
-            out[i] = np.bincount(pair >> np.uint32(22), minlength=SHAPES)
-    return out
+    raw = [t.encode("utf-8", "surrogatepass").lower() for t in texts]
+    begin = np.concatenate(([1], np.cumsum([len(r) + 1 for r in raw]) + 1))[:-1]
+    data = np.frombuffer(b" " + b" ".join(raw) + b" ", dtype=np.uint8)
+    kind = _CLASS[data]
+    black = kind != 0
+    first = np.flatnonzero(black[1:] & ~black[:-1]) + 1
+    if len(first) < 2:
+        return np.zeros((len(texts), SHAPES), dtype=np.int64)
+    length = np.flatnonzero(black[:-1] & ~black[1:]) + 1 - first
+    # which words are the same: a sum over their bytes and places
+    at = np.concatenate(([0], np.cumsum(length)[:-1]))
+    place = np.arange(int(length.sum())) - np.repeat(at, length)
+    word = np.add.reduceat((data[black].astype(np.uint64) + np.uint64(1)) * _PLACES[place & 63], at)
+    runs = np.flatnonzero(kind[1:] != kind[:-1]) + 1
+    runs = runs[black[runs]]
+    run = np.searchsorted(runs, first)
+    count = np.diff(np.append(run, len(runs)))
+    shape = np.zeros(len(first), dtype=np.uint32)
+    for i in range(RUNS):
+        more = count > i
+        shape[more] = shape[more] * np.uint32(31) + kind[runs[run[more] + i]]
+    owner = np.searchsorted(begin, first, side="right") - 1
+    inside = owner[1:] == owner[:-1]
+    shape[1:][inside & (word[1:] == word[:-1]) & (length[1:] == length[:-1])] ^= REPEATED
+    pair = ((shape[:-1] * np.uint32(31) + shape[1:]) * np.uint32(2654435761))[inside] >> np.uint32(22)
+    return np.bincount(owner[1:][inside] * SHAPES + pair, minlength=len(texts) * SHAPES).reshape(-1, SHAPES)
 
 
 def term_counts(texts: list[str]) -> np.ndarray:
