@@ -5,18 +5,23 @@
 2. Overlapping windows of ``WINDOW`` words are the passages. Their document frequencies give the
    TF-IDF weights, over all passages: every term weighs, also one that a hot group of copies repeats.
 3. A randomised SVD of the TF-IDF matrix in one distributed pass: each task sums ``A'(A W)`` over
-   its passages for a random ``W``, the sums are added by row, the benchmark's passages join with
-   ``EMPHASIS`` times the energy of all others, and the driver finishes a Nystroem
-   decomposition. The rank exceeds the number of benchmark passages: with fewer dimensions than
-   that, texts without topics lose just the rare words that tell passages apart (see README).
-4. Each passage is folded into the latent space and its cosine with every benchmark passage
-   taken, in blocks; both products are one table by term. Pairs of at least ``COSINE`` are candidates.
+   its passages for a random ``W``, the sums are added by row, and the driver finishes a Nystroem
+   decomposition to the ``RANK`` leading directions of the corpus. Texts without topics lose just the rare words
+   that tell passages apart in those, so the benchmark's passages add what they have beyond them.
+4. Each passage is folded into the latent space and its cosine there with every benchmark passage
+   taken, in blocks. Its length is that of what the space holds of it: words that no passage of the
+   benchmark goes with do not hide one (plain TF-IDF cosines, see README, need a threshold that
+   lets eight times as many candidates through). Pairs of at least ``COSINE`` are candidates.
 5. A candidate counts if the longest common subsequence of words covers ``STRONG`` of the
    benchmark passage, or ``WEAK`` of it and half of its answer (the end of the item).
 
-The benchmark is broadcast in parts of at most ``PART_PASSAGES`` passages, so what a task holds
-is bounded however large it is. Defined results: null or empty texts match nothing; items without
-words are ignored; an item of several passages is found by any of them; equal rows get equal answers.
+The benchmark is held on the driver; its latent spaces are made for parts of at most
+``PART_PASSAGES`` passages, of which ``PARTS`` are sent to the tasks and looked for in one pass, so
+what a task holds is bounded however large the benchmark is. Defined results: null or empty texts match
+nothing; items without words are ignored; an item of several passages is found by any of them, by the
+one covered best; ties go to the greater cosine; equal and repeated rows get equal answers, null ids too; very long
+texts are searched whole; an empty corpus or benchmark gives no matches; in :func:`clean` other columns
+pass through, but none may begin with ``__q_``.
 """
 
 from __future__ import annotations
@@ -24,19 +29,21 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quillon.llm.common import arrow_map, cut, forget, keyed, slices
+from quillon.llm.common import PRIVATE, arrow_map, cut, forget, keyed, slices
 
 WINDOW, STRIDE = 32, 16
-EXTRA, PART_PASSAGES, LONGEST = 24, 400, 40
-EMPHASIS = 100.0
-COSINE, STRONG, WEAK = 0.5, 0.8, 0.6
+#: Leading directions of the corpus, random ones more to find them with, passages of a part, words of a passage, parts of a pass.
+RANK, MORE, PART_PASSAGES, LONGEST, PARTS = 24, 24, 400, 40, 8
+COSINE, STRONG, WEAK = 0.65, 0.8, 0.6
 
 _PUNCTUATION = r"[^\pL\pN]+"
 
@@ -56,59 +63,66 @@ def word_ids(texts: pa.Array, vocabulary: dict[str, int]) -> tuple[np.ndarray, n
     code = table[coded.indices.to_numpy(zero_copy_only=False)]
     real = code >= 0
     at = np.concatenate(([0], np.cumsum(real)))
-    return code[real].astype(np.uint16), at[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+    return code[real].astype(_kind(vocabulary)), at[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+
+
+def _kind(vocabulary: dict[str, int]) -> str:
+    return "<u2" if len(vocabulary) < 1 << 16 else "<u4"
 
 
 @dataclass
 class Part:
-    """A part of the benchmark: passages as word numbers, and their cosines by term."""
+    """A part of the benchmark: passages in the part's own word numbers, and its latent space."""
 
-    vocabulary: dict[str, int]
     items: list[int]  # item of each passage
     passages: list[list[int]]
-    weights: np.ndarray | None = None  # by word number
-    table: np.ndarray | None = None  # what a word adds to the product with each passage
+    own: np.ndarray  # the part's number of each word of the benchmark, 0 for others
+    weights: np.ndarray | None = None  # by the part's numbers
+    table: np.ndarray | None = None  # what a word adds to each latent coordinate
+    latent: np.ndarray | None = None  # the passages' unit vectors
     masks: list[dict[int, int]] | None = None
 
 
-def parts(benchmark: DataFrame, key: str = "item_id", text: str = "text") -> Iterator[Part]:
-    """Passages of ``LONGEST`` words at most. A part has fewer than 2^16 words."""
-    new = lambda: Part({}, [], [])
-    part = new()
+def parts(benchmark: DataFrame, key: str = "item_id", text: str = "text") -> tuple[dict[str, int], list[Part]]:
+    """The benchmark's words and its passages of ``LONGEST`` words at most."""
+    vocabulary: dict[str, int] = {}
+    passages: list[tuple[int, list[int]]] = []
     for r in keyed(benchmark, key, text).filter(F.col(text).isNotNull()).orderBy(key).toLocalIterator():
         w = words(r[text])
         while w:
             piece, w = (w, []) if len(w) <= LONGEST else (w[:WINDOW], w[WINDOW:])
-            if len(part.passages) == PART_PASSAGES:
-                yield part
-                part = new()
-            part.items.append(r[key])
-            part.passages.append([part.vocabulary.setdefault(x, len(part.vocabulary) + 1) for x in piece])
-    if part.items:
-        yield part
-
-
-def coded(docs: DataFrame, part: Part) -> DataFrame:
-    """``doc_id, codes``: every text as word numbers."""
-    src = keyed(docs, "doc_id", "text").filter("text is not null")
-    kind = src.schema["doc_id"].dataType.simpleString()
-    sent = docs.sparkSession.sparkContext.broadcast(part.vocabulary)
+            passages.append((r[key], [vocabulary.setdefault(x, len(vocabulary) + 1) for x in piece]))
+    out = []
+    for some in batched(passages, PART_PASSAGES):
+        used = np.unique(np.concatenate([np.array(p) for _, p in some]))
+        own = np.zeros(len(vocabulary) + 1, dtype=np.int32)
+        own[used] = np.arange(1, len(used) + 1)
+        out.append(Part([k for k, _ in some], [own[p].tolist() for _, p in some], own))
+    return vocabulary, out
+
+
+def coded(docs: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
+    """``docs`` with ``__q_codes``: every ``text`` as word numbers."""
+    names, kind = docs.columns, _kind(vocabulary)
+    if clash := [c for c in names if c.startswith(PRIVATE)]:
+        raise ValueError(f"columns may not begin with {PRIVATE}: {', '.join(clash)}")
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)  # as large as the benchmark
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            ids, at = word_ids(b.column("text"), sent.value)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([ids[at[i] : at[i + 1]].tobytes() for i in range(b.num_rows)], pa.binary())], ["doc_id", "codes"])
+            ids, at = word_ids(b.column("text").fill_null(""), sent.value)
+            codes = pa.array([ids[at[i] : at[i + 1]].astype(kind).tobytes() for i in range(b.num_rows)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], codes], [*names, "__q_codes"])
 
-    return arrow_map(src, run, f"doc_id {kind}, codes binary")
+    return arrow_map(docs, run, T.StructType([*docs.schema.fields, T.StructField("__q_codes", T.BinaryType())]))
 
 
-def _strides(codes: list[bytes | np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def _strides(codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(strides of ``STRIDE`` word numbers, padded with 0; the first of each text and the end)."""
-    raw = [np.frombuffer(c, dtype=np.uint16) if isinstance(c, bytes) else c for c in codes]
-    n = [max(1, -(-len(r) // STRIDE)) for r in raw]
-    flat = np.zeros(sum(n) * STRIDE, dtype=np.uint16)
+    n = [max(1, -(-len(r) // STRIDE)) for r in codes]
+    flat = np.zeros(sum(n) * STRIDE, dtype=np.int32)
     first = np.concatenate(([0], np.cumsum(n)))
-    for r, at in zip(raw, first[:-1] * STRIDE, strict=True):
+    for r, at in zip(codes, first[:-1] * STRIDE, strict=True):
         flat[at : at + len(r)] = r
     return flat.reshape(-1, STRIDE), first
 
@@ -132,18 +146,17 @@ def _pairs(strides: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, np.concatenate((strides[starts], follow), 1)
 
 
-def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    for b in slices(batches, "codes", 1 << 20):
-        yield b, *_strides(b.column("codes").to_pylist())
+def _batches(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    for b in slices(batches, "__q_codes", 1 << 20):
+        yield b, *_strides([np.frombuffer(c, dtype=kind) for c in b.column("__q_codes").to_pylist()])
 
 
-def weigh(codes: DataFrame, part: Part) -> None:
-    """Inverse document frequencies over all windows."""
-    n = len(part.vocabulary) + 1
+def weigh(codes: DataFrame, n: int, kind: str) -> np.ndarray:
+    """Inverse document frequencies of word numbers below ``n`` over all windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(n, dtype=np.int64)
-        for _, strides, first in _batches(batches):
+        for _, strides, first in _batches(batches, kind):
             starts, w = _pairs(strides, first)
             w = np.sort(w, 1)
             new = np.ones(w.shape, dtype=bool)
@@ -154,10 +167,11 @@ def weigh(codes: DataFrame, part: Part) -> None:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], ["w", "n"])
 
     df = np.zeros(n)
-    for r in arrow_map(codes, run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).collect():  # the vocabulary at most
+    for r in arrow_map(codes.select("__q_codes"), run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).collect():  # the vocabulary at most
         df[r["w"]] = r["n"]
-    part.weights = (np.log((1 + df[0]) / (1 + np.minimum(df, df[0]))) + 1e-3).astype(np.float32)
-    part.weights[0] = 0
+    weights = (np.log((1 + df[0]) / (1 + np.minimum(df, df[0]))) + 1e-3).astype(np.float32)
+    weights[0] = 0
+    return weights
 
 
 def _sums(strides: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -168,28 +182,26 @@ def _sums(strides: np.ndarray, table: np.ndarray) -> np.ndarray:
     return out
 
 
-def decompose(codes: DataFrame, part: Part, seed: int = 9) -> None:
-    """The latent space of all passages, and what each term adds to the benchmark's cosines."""
-    m, size = len(part.weights), len(part.passages) + EXTRA
-    omega = np.random.default_rng(seed).standard_normal((m, size)).astype(np.float32) * (part.weights > 0)[:, None]
-    sent = codes.sparkSession.sparkContext.broadcast((omega * part.weights[:, None], part.weights))
+def directions(codes: DataFrame, weights: np.ndarray, kind: str, seed: int = 9) -> np.ndarray:
+    """The corpus's ``RANK`` leading directions, a column each, by word numbers."""
+    m, size = len(weights), RANK + MORE
+    omega = np.random.default_rng(seed).standard_normal((m, size)).astype(np.float32) * (weights > 0)[:, None]
+    sent = codes.sparkSession.sparkContext.broadcast((omega * weights[:, None], weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, weights = sent.value
-        total, energy = np.zeros(table.shape, dtype=np.float32), 0.0
-        for _, strides, _ in _batches(batches):
-            for at in range(0, len(strides), 512):
-                own = strides[at : at + 512]
+        total = np.zeros(table.shape, dtype=np.float32)
+        for _, strides, _ in _batches(batches, kind):
+            for at in range(0, len(strides), 2048):
+                own = strides[at : at + 2048]
                 s = _sums(own, table)
                 row, col = np.nonzero(own)
                 word = own[row, col]
-                energy += float((weights[word] ** 2).sum())
                 order = np.argsort(word, kind="stable")
                 begin = np.flatnonzero(np.concatenate(([True], np.diff(word[order]) != 0))) if len(word) else []
                 if len(begin):
                     total[word[order][begin]] += np.add.reduceat(s.take(row[order], 0), begin, axis=0)
         total *= weights[:, None]
-        total[0, 0] = energy
         used = np.flatnonzero(np.abs(total).sum(1))
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([total[i].tobytes() for i in used], pa.binary())], ["t", "y"])
 
@@ -202,21 +214,34 @@ def decompose(codes: DataFrame, part: Part, seed: int = 9) -> None:
         yield pa.RecordBatch.from_arrays([pa.array(list(by), pa.int64()), pa.array([v.tobytes() for v in by.values()], pa.binary())], ["t", "y"])
 
     y = np.zeros((m, size))
-    for r in arrow_map(arrow_map(codes, run, "t long, y binary").repartition("t"), add, "t long, y binary").collect():  # a row for each term
+    for r in arrow_map(arrow_map(codes.select("__q_codes"), run, "t long, y binary").repartition("t"), add, "t long, y binary").collect():  # a row for each term
         y[r["t"]] = np.frombuffer(r["y"])
-    energy, y[0] = y[0, 0], 0
-    items = np.zeros((len(part.passages), m))
-    for i, p in enumerate(part.passages):
-        np.add.at(items[i], p, part.weights[p])
-    y += EMPHASIS * max(energy, 1.0) / max((items**2).sum(), 1e-9) * (items.T @ (items @ omega))
     core = omega.astype(np.float64).T @ y
     values, vectors = np.linalg.eigh((core + core.T) / 2)
-    least = 1e-10 * max(values[-1], 1e-30)
-    root = vectors[:, values > least] / np.sqrt(values[values > least])
-    space = np.linalg.qr(y @ root)[0]
-    latent = items @ space
-    latent /= np.maximum(np.linalg.norm(items, axis=1, keepdims=True), 1e-9)
-    part.table = (part.weights[:, None] * (space @ latent.T)).astype(np.float32)
+    keep = np.flatnonzero(values > 1e-10 * max(values[-1], 1e-30))[-RANK:]
+    return y @ (vectors[:, keep] / np.sqrt(values[keep]))
+
+
+def fold(part: Part, weights: np.ndarray, leading: np.ndarray) -> None:
+    """The part's latent space: the leading directions as its words see them, then what its passages
+    have beyond them."""
+    used = np.flatnonzero(part.own)
+    part.weights = np.concatenate(([0], weights[used])).astype(np.float32)
+    items = np.zeros((len(part.passages), len(part.weights)))
+    for i, p in enumerate(part.passages):
+        np.add.at(items[i], p, part.weights[p])
+    items /= np.maximum(np.linalg.norm(items, axis=1, keepdims=True), 1e-9)
+    seen = np.concatenate((np.zeros((1, leading.shape[1])), leading[used]))
+
+    def independent(x: np.ndarray) -> np.ndarray:
+        u, values, _ = np.linalg.svd(x, full_matrices=False)
+        return u[:, values > 1e-6 * max(values.max(initial=0.0), 1e-30)]
+
+    space = independent(seen)
+    beyond = items.T - space @ (space.T @ items.T)
+    space = np.concatenate((space, independent(beyond)), 1)
+    part.latent = (items @ space).astype(np.float32)
+    part.table = (part.weights[:, None] * space).astype(np.float32)
     part.masks = []
     for p in part.passages:
         mask: dict[int, int] = {}
@@ -241,13 +266,12 @@ def _answer(n: int) -> int:
     return min(n, max(3, -(-n // 5)))
 
 
-def matches(codes: list[bytes | np.ndarray], part: Part) -> list[tuple[int, int, float, float, int]]:
+def matches(strides: np.ndarray, first: np.ndarray, part: Part) -> list[tuple[int, int, float, float, int]]:
     """(text, passage, share covered, cosine, first word of the region) of what counts."""
-    strides, first = _strides(codes)
+    strides = part.own.take(strides)
     starts = _windows(first)
     inner = np.ones(len(strides), dtype=bool)
     inner[first[1:] - 1] = False
-    square = (part.weights**2)[strides].sum(1)
     best: dict[tuple[int, int], tuple[float, float, int]] = {}
     owner = np.searchsorted(first, starts, side="right") - 1
     for at in range(0, len(starts), 2048):
@@ -257,7 +281,8 @@ def matches(codes: list[bytes | np.ndarray], part: Part) -> list[tuple[int, int,
         follow, last = np.minimum(own + 1, len(strides) - 1), inner[own]
         z = s[own - lo]
         z[last] += s[follow[last] - lo]
-        sims = z / np.sqrt(np.maximum(square[own] + np.where(last, square[follow], 0), 1e-9))[:, None]
+        sims = z @ part.latent.T
+        sims /= np.sqrt(np.maximum((z * z).sum(1), 1e-9))[:, None]
         for i, p in zip(*np.nonzero(sims >= COSINE), strict=True):
             k = at + int(i)
             text, mask, n = int(owner[k]), part.masks[p], len(part.passages[p])
@@ -278,13 +303,22 @@ def matches(codes: list[bytes | np.ndarray], part: Part) -> list[tuple[int, int,
     return [(t, p, *v) for (t, p), v in sorted(best.items())]
 
 
-def fit(docs: DataFrame, benchmark: DataFrame) -> Iterator[tuple[Part, DataFrame]]:
-    """Each part of the benchmark, ready to search with, and the documents' codes for it."""
-    for part in parts(benchmark):
-        codes = cut(coded(docs, part), "codes")
-        weigh(codes, part)
-        decompose(codes, part)
-        yield part, codes
+def fit(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, str, Iterator[list[Part]]]:
+    """The documents with their codes, the codes' type, and the parts of each pass over them."""
+    vocabulary, every = parts(benchmark)
+    kind = _kind(vocabulary)
+    codes = cut(coded(docs, vocabulary), "codes")
+
+    def passes() -> Iterator[list[Part]]:
+        if every:
+            weights = weigh(codes, len(vocabulary) + 1, kind)
+            leading = directions(codes, weights, kind)
+        for some in batched(every, PARTS):
+            for part in some:
+                fold(part, weights, leading)
+            yield list(some)
+
+    return codes, kind, passes()
 
 
 FOUND = "item_id long, covered double, cosine double, at_word long"
@@ -293,43 +327,42 @@ FOUND = "item_id long, covered double, cosine double, at_word long"
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, item_id, covered, cosine, at_word`` of every document that holds an item: its
     best covered passage, its cosine, and the word where the region around it begins."""
-    out: DataFrame | None = None
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    for part, codes in fit(docs, benchmark):
-        sent = docs.sparkSession.sparkContext.broadcast(part)
+    spark = docs.sparkSession
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {FOUND}"
+    codes, kind, passes = fit(keyed(docs, "doc_id", "text").filter("text is not null"), benchmark)
+    out = spark.createDataFrame([], schema)
+    for some in passes:
+        sent = spark.sparkContext.broadcast(some)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            part = sent.value
-            for b in slices(batches, "codes", 1 << 20):
+            for b, strides, first in _batches(batches, kind):
                 by: dict[tuple[int, int], tuple] = {}
-                for t, p, *rest in matches(b.column("codes").to_pylist(), part):
-                    k = (t, part.items[p])
-                    by[k] = max(by.get(k, (0.0,)), tuple(rest))
+                for part in sent.value:
+                    for t, p, *rest in matches(strides, first, part):
+                        k = (t, part.items[p])
+                        by[k] = max(by.get(k, (0.0,)), tuple(rest))
                 if by:
                     rows = pa.array([t for t, _ in by], pa.int64())
                     covered, cosine, at = zip(*by.values(), strict=True)
                     yield pa.RecordBatch.from_arrays([b.column("doc_id").take(rows), pa.array([i for _, i in by], pa.int64()), pa.array(covered, pa.float64()), pa.array(cosine, pa.float64()), pa.array(at, pa.int64())], ["doc_id", "item_id", "covered", "cosine", "at_word"])
 
-        own = arrow_map(codes, run, f"doc_id {kind}, {FOUND}")
-        out = own if out is None else out.unionByName(own)
-    return out if out is not None else docs.sparkSession.createDataFrame([], f"doc_id {kind}, {FOUND}")
+        out = out.unionByName(cut(arrow_map(codes.select("doc_id", "__q_codes"), run, schema), "found"))
+    forget(codes)
+    return out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no item, with all their columns: texts are matched where
     they are, so nothing is shuffled or joined."""
-    out = docs
-    names, schema = docs.columns, docs.schema
-    for part, codes in fit(docs, benchmark):
-        forget(codes)
-        sent = docs.sparkSession.sparkContext.broadcast(part)
+    codes, kind, passes = fit(docs, benchmark)
+    out = codes
+    for some in passes:
+        sent = docs.sparkSession.sparkContext.broadcast(some)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            part = sent.value
-            for b in slices(batches, most_bytes=4 << 20):
-                ids, at = word_ids(b.column("text").fill_null(""), part.vocabulary)
-                bad = {t for t, *_ in matches([ids[at[i] : at[i + 1]] for i in range(b.num_rows)], part)}
-                yield b.filter(pa.array([i not in bad for i in range(b.num_rows)])).select(names)
+            for b, strides, first in _batches(batches, kind):
+                bad = {t for part in sent.value for t, *_ in matches(strides, first, part)}
+                yield b.filter(pa.array([i not in bad for i in range(b.num_rows)], pa.bool_()))
 
-        out = arrow_map(out, run, schema)
-    return out
+        out = arrow_map(out, run, codes.schema)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

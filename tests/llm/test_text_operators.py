@@ -382,11 +382,54 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(df.limit(0), bench).count() == 0
 
 
-def test_benchmark_in_parts(spark, monkeypatch):
+@pytest.mark.parametrize("parts", [1, 8])
+def test_benchmark_in_parts(spark, monkeypatch, parts):
     monkeypatch.setattr(decontaminate, "PART_PASSAGES", 2)
     items = [(i, " ".join(f"w{i}x{j}" for j in range(20))) for i in range(5)]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    assert len(list(decontaminate.parts(bench))) == 3
+    assert len(decontaminate.parts(bench)[1]) == 3
+    monkeypatch.setattr(decontaminate, "PARTS", parts)
     df = spark.createDataFrame([*items, (9, "nothing of them here")], "doc_id long, text string")
     assert sorted((r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(df, bench).collect()) == [(i, i) for i in range(5)]
     assert [r["doc_id"] for r in decontaminate.clean(df, bench).collect()] == [9]
+
+
+def test_latent_cosine_is_not_plain(spark):
+    """A short passage among words that the benchmark's other passages use in other company is a
+    candidate in the latent space; by plain TF-IDF its cosine is far below the threshold."""
+    rng = random.Random(12)
+    items = [[f"w{i}x{j}" for j in range(10)] for i in range(40)]
+    noise = [w for i in range(1, 40) for w in items[i]]
+    docs = [(i, " ".join(rng.sample(noise, 64))) for i in range(50)]
+    docs.append((100, " ".join([*rng.sample(noise, 16), *items[0][:9], "other", *rng.sample(noise, 6), *["zzz"] * 16])))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(p)) for i, p in enumerate(items)], "item_id long, text string")
+    got = decontaminate.contaminated(df, bench).collect()
+    assert [(r["doc_id"], r["item_id"]) for r in got] == [(100, 0)] and got[0]["covered"] == 0.9
+    vocabulary, (part,) = decontaminate.parts(bench)
+    weights = np.concatenate(([0], np.ones(len(vocabulary)))).astype(np.float32)
+    decontaminate.fold(part, weights, np.zeros((len(weights), 1)))
+    window = [vocabulary[w] for w in docs[-1][1].split()[16:] if w in vocabulary]
+    plain = sum(w in set(part.passages[0]) for w in part.own[window]) / np.sqrt(len(window) * 10)
+    z = part.table[part.own[window]].sum(0)
+    assert z @ part.latent[0] / np.linalg.norm(z) > 1.05 * plain
+
+
+def test_recall_against_every_window(spark):
+    """Planted passages, 15 words of 100 replaced, of which brute force says enough is left are found."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(2, 3)))
+    vocabulary = [word() for _ in range(600)]
+    text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [(i, text(rng.randint(12, 38))) for i in range(60)]
+    docs, want = [], set()
+    for i in range(400):
+        own = [w if rng.random() > 0.15 else word() for w in items[i % 60][1]]
+        docs.append((i, [*text(rng.randint(0, 90)), *own, *text(rng.randint(0, 90))]))
+        if lcs(items[i % 60][1], own) >= 0.8 * len(own):
+            want.add((i, i % 60))
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in docs], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in items], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(df, bench).collect()}
+    assert len(want) > 200 and len(want & found) >= 0.98 * len(want)
+    assert all(lcs(dict(items)[k], docs[i][1]) >= 0.6 * len(dict(items)[k]) for i, k in found)
