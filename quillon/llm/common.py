@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import posixpath
 import uuid
 from collections.abc import Callable, Iterator
@@ -54,6 +55,13 @@ def forget(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of frames that nothing refers to any more: it does so
+    when the driver's garbage is collected, which may be long after an iteration has left them."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def width(spark: SparkSession) -> int:
     """How many tasks a large shuffle is dealt to in this session."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
