@@ -1,6 +1,9 @@
-"""Documented functions of Scala sources: a scanner, a table function, and their index schema.
+"""Documented functions of Scala sources: a scanner, its table, and their index schema.
 
-A function takes the latest doc comment that begins before it; comments are not used up.
+A function is a ``def`` with a body; secondary constructors and abstract members are none. It takes
+the latest doc comment that begins before it; comments are not used up. A parameter's description
+is that of the tag with its very name. A body ends with its brackets, or before the next line that
+is not indented further than the line of its ``def``.
 """
 
 from __future__ import annotations
@@ -9,17 +12,19 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
+from pyspark.sql import types as T
 
 from quillon.model import Field, Schema
 from quillon.operators.index import SearchIndex, build_index
 
 RECORD = "name string, description string, annotations array<string>, params array<string>, return_type string, start_line int, end_line int"
 _DOC = re.compile(r"/\*\*(?!/)(.*?)\*/", re.S)
-_DEF = re.compile(r"(?<![\w.])def\s+([^\s\[(:={]+)")
-_MODIFIER = re.compile(r"(?:private|protected|final|override|implicit|inline|lazy|transparent|abstract)(?:\[\w+\])?\s*$")
+_MARKS = r"[!#%&*+\-/:<=>?@\\^|~]"
+_DEF = re.compile(rf"(?<![\w.$`])def\s+(`[^`\n]+`|{_MARKS}+|[\w$]+(?:(?<=_){_MARKS}+)?)")
+_MODIFIER = re.compile(r"(?<![@\w])(?:private|protected|final|override|implicit|inline|lazy|transparent|abstract)(?:\[\w+\])?\s*$")
 _OPEN, _CLOSE = "([{", ")]}"
 
 
@@ -48,10 +53,20 @@ def _doc(at: int, raw: str) -> Doc:
     return Doc(at, " ".join(text), params)
 
 
+#: Stands for what a string or character literal holds: no blank, bracket, comma or line break.
+_HELD = "\x01"
+_TOKENS = re.compile(r'''/\*.*?\*/|//[^\n]*|""".*?"""+|"(?:\\.|[^"\\\n])*"|'(?:\\u[0-9a-fA-F]{4}|\\.|[^'\\\n])'|`[^`\n]+`''', re.S)
+
+
 def _masked(source: str) -> str:
-    """The source with comments and strings blanked, places kept."""
-    blank = lambda m: re.sub(r"[^\n]", " ", m[0])
-    return re.sub(r'/\*.*?\*/|//[^\n]*|""".*?"""|"(?:\\.|[^"\\\n])*"', blank, source, flags=re.S)
+    """The source with comments blanked and literals held by fillers, places kept."""
+
+    def mask(m: re.Match) -> str:
+        if m[0][0] == "`":
+            return m[0]
+        return (" " if m[0].startswith("/") else _HELD) * len(m[0])
+
+    return _TOKENS.sub(mask, source)
 
 
 def _closing(code: str, at: int) -> int:
@@ -124,8 +139,14 @@ def _annotations(source: str, masked: str, at: int) -> tuple[list[str], int]:
         return found, at
 
 
-def _body_end(masked: str, at: int) -> int:
-    """Where the expression after ``=`` ends: with its bracket, else with its line."""
+def _indent(masked: str, at: int) -> int:
+    """Blanks that the line of ``at`` begins with."""
+    line = masked.rfind("\n", 0, at) + 1
+    return _skip(masked, line) - line
+
+
+def _body_end(masked: str, at: int, indent: int) -> int:
+    """Where the expression after ``=`` of a ``def`` in a line with ``indent`` blanks ends."""
     at = _skip(masked, at)
     i = at
     while i < len(masked):
@@ -133,8 +154,14 @@ def _body_end(masked: str, at: int) -> int:
         if c in _OPEN:
             i = _closing(masked, i)
             continue
-        if c == "\n" or c in _CLOSE:
+        if c in _CLOSE or c == ";":
             break
+        if c == "\n":
+            after = _skip(masked, i)
+            if after == len(masked) or _indent(masked, after) <= indent:
+                break
+            i = after
+            continue
         i += 1
     return max(at, len(masked[:i].rstrip()))
 
@@ -145,7 +172,10 @@ def parse_scaladoc(source: str) -> list[tuple]:
     docs = [_doc(m.start(), m[1]) for m in _DOC.finditer(source)]
     out = []
     for m in _DEF.finditer(masked):
-        doc = next((d for d in reversed(docs) if d.at < m.start()), Doc(0, "", {}))
+        if m[1] == "this":
+            continue
+        annotations, first = _annotations(source, masked, m.start())
+        doc = next((d for d in reversed(docs) if d.at < first), Doc(0, "", {}))
         at = _skip(masked, m.end())
         params: list[str] = []
         if masked[at : at + 1] == "[":
@@ -175,40 +205,39 @@ def parse_scaladoc(source: str) -> list[tuple]:
                 stop += 1
             kind = source[at + 1 : stop].strip()
         if masked[stop : stop + 1] == "=":
-            end = _body_end(masked, stop + 1)
+            end = _body_end(masked, stop + 1, _indent(masked, m.start()))
         elif masked[stop : stop + 1] == "{":
             end = _closing(masked, stop)
         else:
-            end = len(masked[:stop].rstrip())
-        annotations, first = _annotations(source, masked, m.start())
-        out.append((m[1], doc.description, annotations, params, kind, source.count("\n", 0, first), source.count("\n", 0, end)))
+            continue
+        out.append((m[1].strip("`"), doc.description, annotations, params, kind, source.count("\n", 0, first), source.count("\n", 0, end)))
     return out
 
 
-@udtf(returnType=RECORD)
-class ScaladocRows:
-    """``SELECT * FROM t, LATERAL scaladoc(t.source)`` after :func:`register`."""
-
-    def eval(self, source: str) -> Iterator[tuple]:
-        if source is not None:
-            yield from parse_scaladoc(source)
-
-
-def register(spark: SparkSession, name: str = "scaladoc") -> None:
-    spark.udtf.register(name, ScaladocRows)
-
-
 def read_sources(spark: SparkSession, folder: str, suffix: str = "*.scala") -> DataFrame:
     """``path, source``: every source file below ``folder``, one row each."""
     return spark.read.text(folder, wholetext=True, pathGlobFilter=suffix, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("source"))
 
 
 def documented(sources: DataFrame) -> DataFrame:
-    """``sources`` (with a column ``source``) by documented function."""
-    register(sources.sparkSession)
+    """``sources`` by documented function: the other columns, and :data:`RECORD`'s in place of ``source``."""
     keep = [c for c in sources.columns if c != "source"]
-    names = ", ".join([*[f"s.`{c}`" for c in keep], "d.*"])
-    return sources.sparkSession.sql(f"SELECT {names} FROM {{rows}} s, LATERAL scaladoc(s.source) d", rows=sources)
+    fields = [f for f in sources.schema.fields if f.name != "source"]
+    record = T.StructType.fromDDL(RECORD)
+    types = [pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.string(), pa.int32(), pa.int32()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, found = [], []
+            for i, source in enumerate(b.column("source").to_pylist()):
+                own = parse_scaladoc(source) if source is not None else []
+                rows += [i] * len(own)
+                found += own
+            at = pa.array(rows, pa.int64())
+            made = [pa.array([r[k] for r in found], t) for k, t in enumerate(types)]
+            yield pa.RecordBatch.from_arrays([*[b.column(c).take(at) for c in keep], *made], [*keep, *record.names])
+
+    return sources.select(*[f"`{c}`" for c in sources.columns]).mapInArrow(run, T.StructType([*fields, *record.fields]))
 
 
 #: Fields of an index of functions; the first is the default one.

@@ -103,3 +103,46 @@ def test_scaladoc(spark, tmp_path):
     assert [r["name"] for r in rows.orderBy("doc_id").collect()] == ["plus", "twice", "show"]
     assert [r["doc_id"] for r in Searcher(index_functions(rows)).search("description:numbers, AND returnType:Int").collect()] == [1]
     assert documented(rows.select(F.lit(None).cast("string").alias("source"))).count() == 0
+
+
+VARIED = '''
+class Many(val a: Int) {
+  /** Sums up. */
+  def total: Int =
+    xs
+      .map(f)
+      .sum
+
+  def pick(b: Boolean): String =
+    if (b) "y{"
+    else "n"
+
+  def name = "x"
+  def quote = '"'
+  def this() = this(1)
+  def ::(x: Int): Int = x; def +(y: Int) = y
+  def a_=(x: Int): Unit = { a = x }
+  def `back quoted`(s: String = """a
+b)"""): String = s
+  def later: Int
+  /** Not a def { */
+  @inline
+  final def tagged[A, B](a: A)(implicit b: B): (A, B) = (
+    a,
+    b
+  )
+  def text = """two
+lines"""
+  def last = 1
+}
+'''
+
+
+def test_scaladoc_of_varied_sources():
+    got = {r[0]: r for r in parse_scaladoc(VARIED)}
+    assert list(got) == ["total", "pick", "name", "quote", "::", "+", "a_=", "back quoted", "tagged", "text", "last"]
+    lines = {k: r[5:] for k, r in got.items()}
+    assert lines == {"total": (3, 6), "pick": (8, 10), "name": (12, 12), "quote": (13, 13), "::": (15, 15), "+": (15, 15), "a_=": (16, 16), "back quoted": (17, 18), "tagged": (21, 25), "text": (26, 27), "last": (28, 28)}
+    assert got["pick"][1] == "Sums up." and got["tagged"][1] == "Not a def {" and got["tagged"][2] == ["@inline"]
+    assert got["tagged"][3:5] == (["A", "B", "a: A", "b: B (Implicit)"], "(A, B)")
+    assert got["back quoted"][3] == ["s: String (Optional)"] and got["name"][4] == "Unit" and got["::"][3:5] == (["x: Int"], "Int")
