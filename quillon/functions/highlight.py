@@ -66,3 +66,17 @@ def format_fragment(text: str, offsets: list[int], before: str = "<b>", after: s
         out += [text[at:start], before, text[start : start + size], after]
         at = start + size
     return "".join(out) + text[at:]
+
+
+def formatted(text: Column, offsets: Column, before: str = "<b>", after: str = "</b>") -> Column:
+    """:func:`format_fragment` of columns: ``offsets`` is an array of starts and lengths in order. An odd
+    number of them, or a pair that is not within the text, is an error of the job; null gives null."""
+    at = lambda i: F.get(offsets, i)
+    pairs = F.floor(F.size(offsets) / 2).cast("int")
+    end = lambda i: F.when(i < 0, F.lit(0)).otherwise(at(2 * i) + at(2 * i + 1))
+    each = F.transform(F.sequence(F.lit(0), pairs - 1), lambda i: F.concat(F.substr(text, end(i - 1) + 1, at(2 * i) - end(i - 1)), F.lit(before), F.substr(text, at(2 * i) + 1, at(2 * i + 1)), F.lit(after)))
+    whole = F.concat(F.array_join(each, ""), F.substr(text, end(pairs - 1) + 1))
+    wrong = F.exists(F.sequence(F.lit(0), pairs - 1), lambda i: (at(2 * i) < end(i - 1)) | (at(2 * i + 1) < 0) | (end(i) > F.length(text)))
+    odd = F.raise_error(F.lit("offsets come in pairs of start and length")).cast("string")
+    out = F.raise_error(F.lit("an offset is not within the text")).cast("string")
+    return F.when(text.isNull() | offsets.isNull(), F.lit(None).cast("string")).when(F.size(offsets) % 2 == 1, odd).when(pairs == 0, text).when(wrong, out).otherwise(whole)

@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.functions.highlight import Highlighter, format_fragment
-from quillon.functions.render import card
+from quillon.functions.highlight import Highlighter, formatted
+from quillon.functions.render import card, function_card
 from quillon.functions.score import no_score, term_frequency
 from quillon.model import Analyzer, Field, Schema, SearchRequest
-from quillon.operators.index import SearchIndex, build_index
+from quillon.operators.index import SearchIndex, build_index, numbered
 from quillon.operators.search import Searcher, instant_search
 from quillon.plans import ast
+from quillon.sources.folders import shared_dir
 from quillon.sources.html import page_text
 from quillon.sources.paths import excluded, normal_path, title_or_name, url_path
-from quillon.sources.scaladoc import documented
+from quillon.sources.scaladoc import documented, index_functions, read_sources
 from quillon.sources.store import load_index, save_index
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -90,7 +91,7 @@ _ids("prefix_ids", "thes*", f"SELECT DISTINCT doc_id FROM ({_has('''starts_with(
 _ids("range_ids", "[tho TO thr]", f"SELECT DISTINCT doc_id FROM ({_has('''term >= 'tho' AND term < 'thr' ''')})")
 _ids("regex_ids", "/^w(as|ith)(er|an)/", f"SELECT DISTINCT doc_id FROM ({_has('''regexp_matches(term, '^w(as|ith)(er|an)')''')})")
 _ids("phrase_ids", '"of the"', "SELECT DISTINCT a.doc_id FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.term = 'of' AND b.term = 'the'")
-_ids("phrase_three", '"on the of"', "SELECT DISTINCT a.doc_id FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 JOIN tok c ON a.doc_id = c.doc_id AND c.pos = a.pos + 2 WHERE a.term = 'on' AND b.term = 'the' AND c.term = 'of'")
+_ids("phrase_three", '"the and attion"', "SELECT DISTINCT a.doc_id FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 JOIN tok c ON a.doc_id = c.doc_id AND c.pos = a.pos + 2 WHERE a.term = 'the' AND b.term = 'and' AND c.term = 'attion'")
 _ids("phrase_repeated", '"the the"', "SELECT DISTINCT a.doc_id FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.term = 'the' AND b.term = 'the'")
 _ids("phrase_one_term", '"that"', f"SELECT DISTINCT doc_id FROM ({_in('that')})")
 _ids("missing_term", "qqqqq", f"SELECT DISTINCT doc_id FROM ({_in('qqqqq')})")
@@ -189,7 +190,64 @@ def instant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return instant_search(documents_index(spark, sf_dir), "oneand thesa").select("doc_id", F.col("fields")["lang"].alias("lang"), F.length(F.col("highlights")["text"]).alias("shown"))
 
 
-_register("instant_search", instant)
+
+
+def _fragment(column: str, needle: str, size: int = 100, before: str = "<b>", after: str = "</b>") -> str:
+    """The highlighter's fragment of a column, as an expression."""
+    n, most = len(needle), size + len(before) + len(after)
+    at = f"(strpos(lower({column}), '{needle}') - 1)"
+    start = f"greatest({at} - {size // 2}, 0)"
+    head = rf"length(regexp_extract(substr({column}, {start} + 1), '^[^ \n\t.]*', 0))"
+    begin = f"(CASE WHEN {at} < 0 OR {start} = 0 OR length({column}) < {size} THEN 0 WHEN {start} + {head} > {at} THEN {start} ELSE {start} + {head} END)"
+    marked = f"(CASE WHEN {at} < 0 THEN {column} ELSE substr({column}, {begin} + 1, {at} - {begin}) || '{before}' || substr({column}, {at} + 1, {n}) || '{after}' || substr({column}, {at} + {n + 1}) END)"
+    trimmed = rf"regexp_replace({marked}, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g')"
+    return f"(CASE WHEN length({trimmed}) > {most} THEN substr({trimmed}, 1, {most}) || '...' ELSE {trimmed} END)"
+
+
+_register(
+    "instant_search",
+    instant,
+    f"""WITH {TOKENS}, p AS (SELECT DISTINCT doc_id, CAST(1 AS FLOAT) AS s FROM tok WHERE starts_with(term, 'thesa')),
+h AS (SELECT doc_id, coalesce(a.s, CAST(0 AS FLOAT)) + (coalesce(b.s, CAST(0 AS FLOAT)) + coalesce(p.s, CAST(0 AS FLOAT))) AS score
+      FROM (SELECT doc_id FROM documents) LEFT JOIN {_term_score('oneand')} a USING (doc_id) LEFT JOIN {_term_score('thesa')} b USING (doc_id) LEFT JOIN p USING (doc_id)
+      WHERE a.s IS NOT NULL OR b.s IS NOT NULL OR p.s IS NOT NULL ORDER BY score DESC, doc_id LIMIT 10)
+SELECT doc_id, lang, CAST(length({_fragment('text', 'oneand thesa', 150, '<mark>', '</mark>')}) AS INTEGER) AS shown FROM h JOIN documents USING (doc_id)""",
+)
+
+
+def request_highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page whose request names a field to return and another to highlight."""
+    hits = Searcher(documents_index(spark, sf_dir)).search(SearchRequest("that", 40, 5, highlight_fields=["text"], result_fields=["lang"]))
+    return hits.select("doc_id", F.col("fields")["lang"].alias("lang"), F.col("highlights")["text"].alias("fragment"))
+
+
+_register(
+    "request_highlights",
+    request_highlights,
+    f"WITH {TOKENS}, h AS ({_sum(['that'])} ORDER BY score DESC, doc_id LIMIT 40 OFFSET 5) SELECT doc_id, lang, {_fragment('text', 'that')} AS fragment FROM h JOIN documents USING (doc_id)",
+)
+
+#: Requests that cannot be answered, by what is wrong with them.
+FAULTS = {
+    "open range": (SearchRequest("[a TO *]"), "Unsupported TermRange error?"),
+    "unknown field": (SearchRequest("nowhere:that"), "Unsupported field: 'nowhere'"),
+    "nested field": (SearchRequest("lang:(source:src1)"), "Unsupported nested field query: Field(source,Term(src1))"),
+    "missing phrase term": (SearchRequest('"that qqqqq"'), "Some terms in phrase 'Phrase(that qqqqq)' could not be found in index"),
+    "phrase without positions": (SearchRequest('lang:"en de"'), "Index does not support phrase queries"),
+    "pattern": (SearchRequest("/a(/"), "Invalid regex query TermRegex(a()"),
+    "fuzzy": (SearchRequest("that~1"), "Unsupported query: Fuzzy(that,1)"),
+    "fields": (SearchRequest("that", result_fields=["a", "lang"], highlight_fields=["b"]), "Fields not stored in index: 'a'. Highlights not stored in index: 'b'."),
+    "size": (SearchRequest("that", -1), "size and skip must not be negative"),
+}
+
+
+def request_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    searcher = Searcher(documents_index(spark, sf_dir))
+    return spark.createDataFrame([(k, searcher.try_search(r)[1]) for k, (r, _) in FAULTS.items()], "fault string, message string")
+
+
+_quoted = lambda x: "'" + x.replace("'", "''") + "'"
+_register("request_faults", request_faults, "SELECT * FROM (VALUES " + ", ".join(f"({_quoted(k)}, {_quoted(m)})" for k, (_, m) in FAULTS.items()) + ") t(fault, message)")
 
 # ---- the index itself
 
@@ -213,14 +271,58 @@ _register("index_stats", index_stats, f"WITH {TOKENS} SELECT 'text' AS field, co
 
 
 def index_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quillon-index-")
-    path = f"{base}/quillon-index-{abs(hash(sf_dir))}"
-    save_index(documents_index(spark, sf_dir), path)
-    again = load_index(spark, path, expect={"text": "positional", "lang": "frequency"})
-    return _scored(Searcher(again).search(SearchRequest("that with was", 20))).select("doc_id", "score")
+    return _scored(Searcher(saved_index(spark, sf_dir)).search(SearchRequest("that with was", 20))).select("doc_id", "score")
+
+
+_SAVED: dict[tuple[str, str], str] = {}
+
+
+def saved_index(spark: SparkSession, sf_dir: str) -> SearchIndex:
+    """The index of documents, saved by the first call of an application and loaded by every one."""
+    own = spark.sparkContext.applicationId, sf_dir
+    if own not in _SAVED:
+        path = f"{shared_dir(spark)}/quillon-index-{uuid.uuid4().hex}"
+        save_index(documents_index(spark, sf_dir), path)
+        _SAVED[own] = path
+    return load_index(spark, _SAVED[own], expect={"text": "positional", "lang": "frequency"})
 
 
 _register("index_roundtrip", index_roundtrip, _page(["that", "with", "was"], 20))
+for _name, _query in {"term_ids": "That", "prefix_ids": "thes*", "range_ids": "[tho TO thr]", "regex_ids": "/^w(as|ith)(er|an)/", "phrase_ids": '"of the"', "and_not": "that AND NOT with", "not_only": "NOT the", "cross_field_and": "that AND source:src3 AND NOT lang:fr"}.items():
+    _register(f"saved_{_name}", lambda s, d, q=_query: Searcher(saved_index(s, d)).ids(q), ORACLES[_name])
+
+
+def deep_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page far down, of more hits than are sent to the driver."""
+    return _scored(Searcher(saved_index(spark, sf_dir), few=50).search(SearchRequest("that with was", 60, 45))).select("doc_id", "score")
+
+
+_register("deep_page", deep_page, _page(["that", "with", "was"], 60, 45))
+
+
+def dict_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = documents_index(spark, sf_dir)
+    return spark.createDataFrame([(index.num_terms("text"), index.term_index("text", "that"), index.term_index("text", "thatt"))], "terms long, at long, would_be long")
+
+
+_register("dict_numbers", dict_numbers, f"WITH {TOKENS} SELECT count(*) AS terms, count(*) FILTER (term < 'that') AS at, count(*) FILTER (term < 'thatt') AS would_be FROM df")
+
+
+def tokens_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns that are tokens already, one with positions and one without."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.split("p_name", " ").alias("words"), F.split("p_name", "e").alias("pieces"))
+    index = build_index(rows, Schema.of(Field("words"), Field("pieces", positions=False)), "p_partkey")
+    return index.postings.select("field", "term", F.col("doc_id").alias("p_partkey"), F.col("tf").cast("long").alias("tf"), F.array_join("positions", ",").alias("positions"))
+
+
+_register(
+    "tokens_index",
+    tokens_index,
+    """WITH w AS (SELECT p_partkey, unnest(l) AS term, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT p_partkey, string_split(p_name, ' ') AS l FROM part)),
+e AS (SELECT p_partkey, unnest(string_split(p_name, 'e')) AS term FROM part)
+SELECT 'words' AS field, term, p_partkey, count(*) AS tf, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS positions FROM w GROUP BY 2, 3
+UNION ALL SELECT 'pieces', term, p_partkey, count(*), CAST(NULL AS VARCHAR) FROM e GROUP BY 2, 3""",
+)
 
 # ---- other tables
 
@@ -228,11 +330,10 @@ _register("index_roundtrip", index_roundtrip, _page(["that", "with", "was"], 20)
 def part_name_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = Schema.of(Field("p_name", LOW), Field("p_brand", positions=False))
     index = build_index(table(spark, sf_dir, "part"), names, "p_partkey")
-    word = "p_brand:[Brand#1 TO Brand#3]"
-    return Searcher(index).ids(word).withColumnRenamed("doc_id", "p_partkey")
+    return Searcher(index).ids("p_brand:[Brand#1 TO Brand#3] AND NOT anvil").withColumnRenamed("doc_id", "p_partkey")
 
 
-_register("part_name_search", part_name_search, r"SELECT DISTINCT p_partkey FROM (SELECT p_partkey, unnest(string_split_regex(p_brand, '[ \t\n\v\f\r]+')) AS t FROM part) WHERE t >= 'Brand#1' AND t < 'Brand#3'")
+_register("part_name_search", part_name_search, r"SELECT DISTINCT p_partkey FROM (SELECT p_partkey, unnest(string_split_regex(p_brand, '[ \t\n\v\f\r]+')) AS t FROM part) WHERE t >= 'Brand#1' AND t < 'Brand#3' AND p_partkey NOT IN (SELECT p_partkey FROM part WHERE list_contains(string_split_regex(lower(p_name), '[ \t\n\v\f\r]+'), 'anvil'))")
 
 
 def conversation_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -277,8 +378,32 @@ def html_text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(Searcher(index).search(SearchRequest("that title:with", 25))).select("doc_id", "score")
 
 
-_register("html_text", html_text)
-_register("html_text_search", html_text_search)
+
+#: Visible text of the pages, whose markup is regular, and their titles.
+PAGES = r"""
+plain AS (SELECT page_id, replace(replace(replace(replace(
+    regexp_replace(regexp_replace(regexp_replace(html, '(?s)<head>.*?</head>|<nav>.*?</nav>|<!--.*?-->', '', 'g'), '\s+', ' ', 'g'),
+      '</?(?:!DOCTYPE|html|body|div|article|h1|p|br|footer)[^>]*>', chr(10), 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&') AS t,
+  replace(replace(regexp_replace(trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)), '\s+', ' ', 'g'), '&quot;', '"'), '&amp;', '&') AS title FROM pages),
+lines AS (SELECT page_id, title, list_filter(list_transform(string_split(regexp_replace(t, '<[^>]*>', '', 'g'), chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS l FROM plain),
+shown AS (SELECT page_id, title, CASE WHEN len(l) = 0 THEN '' ELSE array_to_string(l, chr(10)) || chr(10) END AS body FROM lines)"""
+
+_register("html_text", html_text, f"WITH {PAGES} SELECT page_id, body, title FROM shown")
+
+
+def _field_score(field: str, term: str) -> str:
+    tokens = rf"string_split_regex(regexp_replace(lower({field}), '[ \t\n\v\f\r]+$', ''), '[ \t\n\v\f\r]+')"
+    return f"(SELECT page_id, len(list_filter({tokens}, lambda x: x = '{term}')) AS tf FROM shown WHERE list_contains({tokens}, '{term}'))"
+
+
+_idf = lambda t: f"CAST(ln(1 + {t}.tf) * (ln(((SELECT count(*) FROM pages) + 1.0) / ((SELECT count(*) FROM {t}) + 1.0)) + 1) AS FLOAT)"
+_register(
+    "html_text_search",
+    html_text_search,
+    f"""WITH {PAGES}, a AS {_field_score('body', 'that')}, b AS {_field_score('title', 'with')}
+SELECT page_id AS doc_id, round(CAST(coalesce({_idf('a')}, CAST(0 AS FLOAT)) + coalesce({_idf('b')}, CAST(0 AS FLOAT)) AS DOUBLE), 3) AS score
+FROM pages LEFT JOIN a USING (page_id) LEFT JOIN b USING (page_id) WHERE a.tf IS NOT NULL OR b.tf IS NOT NULL ORDER BY score DESC, doc_id LIMIT 25""",
+)
 
 
 def scaladoc_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -291,12 +416,56 @@ def scaladoc_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 _register("scaladoc_extract", scaladoc_extract, "SELECT item_id, 'item' || item_id AS name, 'a: first: Int (Optional)' AS param, 'Long' AS return_type, 4 AS start_line, 6 AS end_line FROM benchmark")
 
 
+#: A source of several functions around an item's text: what has a comment, what inherits it, what none has.
+_SOURCE = ("class Item {\n  def before = \"a(\"\n  /** ", "\n    * @param a first\n    * @tparam T kind\n    */\n  @inline def item", "[T](a: T, b: Int = 1)(implicit c: Ordering[T]): List[T] =\n    List(a)\n      .map(x => x)\n\n  def ::(x: Long): Unit = {\n    ()\n  }\n  def `not plain`(s: String) = s; def last = 2\n  def none: Int\n  def this() = this(1)\n}\n")
+
+
+def scaladoc_varied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.trim(F.regexp_replace("text", r"[*/@\\\"]|\s+", " "))
+    made = F.concat(F.lit(_SOURCE[0]), text, F.lit(_SOURCE[1]), F.col("item_id"), F.lit(_SOURCE[2]))
+    got = documented(table(spark, sf_dir, "benchmark").select("item_id", made.alias("source")))
+    return got.select("item_id", "name", "description", F.array_join("annotations", ";").alias("annotations"), F.array_join("params", ";").alias("params"), "return_type", "start_line", "end_line")
+
+
+_register(
+    "scaladoc_varied",
+    scaladoc_varied,
+    r"""WITH b AS (SELECT item_id, trim(regexp_replace(text, '[*/@\\"]|\s+', ' ', 'g')) AS t FROM benchmark)
+SELECT item_id, 'before' AS name, '' AS description, '' AS annotations, '' AS params, 'Unit' AS return_type, 1 AS start_line, 1 AS end_line FROM b
+UNION ALL SELECT item_id, 'item' || item_id, t, '@inline', 'T: kind;a: first: T;b: Int (Optional);c: Ordering[T] (Implicit)', 'List[T]', 6, 8 FROM b
+UNION ALL SELECT item_id, '::', t, '', 'x: Long', 'Unit', 10, 12 FROM b
+UNION ALL SELECT item_id, 'not plain', t, '', 's: String', 'Unit', 13, 13 FROM b
+UNION ALL SELECT item_id, 'last', t, '', '', 'Unit', 13, 13 FROM b""",
+)
+
+
+def scaladoc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources written as files, read by a pattern of names, indexed by function and searched."""
+    folder = f"{shared_dir(spark)}/quillon-sources-{uuid.uuid4().hex}"
+    line = F.concat(F.lit("/** Of "), F.lower("r_name"), F.lit(" */ def region"), F.col("r_regionkey").cast("string"), F.lit("(key: Int): Region = key"))
+    table(spark, sf_dir, "region").select(line.alias("value")).write.text(folder)
+    rows = numbered(documented(read_sources(spark, folder, "part-*.txt")), "name")
+    hits = Searcher(index_functions(rows)).search(SearchRequest("returnType:Region AND description:(asia OR europe)", result_fields=["functionName", "params", "returnType", "description"]))
+    shown = F.col("fields")
+    return hits.select(shown["functionName"].alias("name"), function_card(shown["functionName"], shown["params"], shown["returnType"], shown["description"]).alias("card"))
+
+
+_register(
+    "scaladoc_files",
+    scaladoc_files,
+    "SELECT 'region' || r_regionkey AS name, '<article><h3><code>region' || r_regionkey || '(key: Int): Region</code></h3><p>Of ' || lower(r_name) || '</p></article>' AS card FROM region WHERE r_name IN ('ASIA', 'EUROPE')",
+)
+
+
 def fragment_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shown = format_fragment("hello world", [0, 5, 6, 5])
-    return table(spark, sf_dir, "nation").select("n_nationkey", F.lit(shown).alias("fragment"))
+    """The first and the last word of each name wrapped, by offsets that come from the names."""
+    first = F.instr("p_name", " ") - 1
+    last = F.length(F.substring_index("p_name", " ", -1))
+    offsets = F.array(F.lit(0), first, F.length("p_name") - last, last)
+    return table(spark, sf_dir, "part").select("p_partkey", formatted(F.col("p_name"), F.when(first > 0, offsets).otherwise(F.expr("cast(array() as array<int>)")), "[", "]").alias("fragment"))
 
 
-_register("fragment_format", fragment_format, "SELECT n_nationkey, '<b>hello</b> <b>world</b>' AS fragment FROM nation")
+_register("fragment_format", fragment_format, "SELECT p_partkey, CASE WHEN strpos(p_name, ' ') > 1 THEN regexp_replace(regexp_replace(p_name, '([^ ]*)$', '[\\1]'), '^([^ ]*)', '[\\1]') ELSE p_name END AS fragment FROM part")
 
 
 def hit_cards(spark: SparkSession, sf_dir: str) -> DataFrame:

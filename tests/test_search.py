@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions.analysis import tokenize, tokens_of
-from quillon.functions.highlight import Highlighter, format_fragment
+from quillon.functions.highlight import formatted, Highlighter, format_fragment
 from quillon.functions.render import card
 from quillon.functions.score import no_score, term_frequency
 from quillon.model import Analyzer, Field, Schema, SearchError, SearchRequest
@@ -295,3 +295,20 @@ def test_random_trees(spark):
 def test_card(spark):
     row = spark.createDataFrame([('a < "b"', "/x?a&b", "1 > <b>0</b>")], "t string, l string, f string")
     assert row.select(card(F.col("t"), F.col("l"), F.col("f"))).first()[0] == '<article><h3><a href="/x?a&amp;b">a &lt; &quot;b&quot;</a></h3><p>1 &gt; <b>0</b></p></article>'
+
+
+def test_pages_of_many_hits(spark):
+    """Pages ranked in ranges equal those of the driver's sort, wherever they begin and end."""
+    rows = spark.createDataFrame([(i, "a " * (i % 7 + 1) + ("b" if i % 3 else "c")) for i in range(200)], "doc_id long, t string")
+    index = build_index(rows, Schema.of(Field("t")))
+    for skip, size in ((0, 10), (5, 40), (60, 200), (199, 5), (200, 5), (0, 0)):
+        want = Searcher(index).search(SearchRequest("a b", size, skip)).select("doc_id", "score").collect()
+        assert sorted(Searcher(index, few=3).search(SearchRequest("a b", size, skip)).select("doc_id", "score").collect()) == sorted(want)
+
+
+def test_formatted_columns(spark):
+    df = spark.createDataFrame([("hello world", [0, 5, 6, 5]), ("hello", []), (None, [0, 1]), ("x", None), ("abc", [0, 1, 1, 1]), ("abc", [3, 0])], "t string, o array<int>")
+    assert [r[0] for r in df.select(formatted(F.col("t"), F.col("o"))).collect()] == ["<b>hello</b> <b>world</b>", "hello", None, None, "<b>a</b><b>b</b>c", "abc<b></b>"]
+    for bad in ([0], [2, 3], [1, 1, 0, 1], [0, -1]):
+        with pytest.raises(Exception, match="offset"):
+            spark.createDataFrame([("abc", bad)], "t string, o array<int>").select(formatted(F.col("t"), F.col("o"))).collect()
