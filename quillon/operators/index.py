@@ -23,6 +23,7 @@ class SearchIndex:
     terms: DataFrame
     docs: DataFrame
     num_docs: int
+    tokens: DataFrame | None = None  # ``field, p, doc_id, pos, term`` of an index that is not saved yet
 
     def cached(self) -> SearchIndex:
         """The same index held in memory (and on disk where it does not fit)."""
@@ -86,13 +87,18 @@ def build_index(rows: DataFrame, schema: Schema, key: str = "doc_id", values: Ma
         if kinds[f.name] not in ("string", "array<string>"):
             raise SearchError(f"Field '{f.name}' is {kinds[f.name]}; only strings can be indexed")
     split = [F.struct(F.lit(f.name).alias("field"), F.lit(f.positions).alias("p"), (F.col(f"`{f.name}`") if kinds[f.name].startswith("array") else tokenize(F.col(f"`{f.name}`"), f.analyzer.lower_case)).alias("tokens")) for f in schema.fields]
-    tokens = src.select("doc_id", F.explode(F.array(*split)).alias("f")).select("doc_id", "f.field", "f.p", F.posexplode("f.tokens").alias("pos", "term"))
-    keys = ["field", "term", "doc_id"]
-    if any(f.positions for f in schema.fields):
-        grouped = tokens.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("tf"), F.sort_array(F.collect_list(F.when(F.col("p"), F.col("pos")))).alias("at"))
-        postings = grouped.select(*keys, "tf", F.when(F.size("at") > 0, F.col("at")).alias("positions"))
-    else:
-        postings = tokens.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("tf")).withColumn("positions", F.lit(None).cast("array<int>"))
+    tokens = src.select("doc_id", F.explode(F.array(*split)).alias("f")).select("doc_id", "f.field", "f.p", "f.tokens").select("doc_id", "field", "p", F.posexplode("tokens").alias("pos", "term"))
+    postings = postings_of(tokens, schema)
     terms = postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
     docs = src.select("doc_id", *[f"`{f}`" for f in schema.stored])
-    return SearchIndex(schema, postings, terms, docs, rows.count())
+    return SearchIndex(schema, postings, terms, docs, rows.count(), tokens)
+
+
+def postings_of(tokens: DataFrame, schema: Schema) -> DataFrame:
+    """``field, term, doc_id, tf, positions`` of exploded tokens; no exchange where they are dealt by
+    ranges of the first three."""
+    keys = ["field", "term", "doc_id"]
+    if not any(f.positions for f in schema.fields):
+        return tokens.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("tf")).withColumn("positions", F.lit(None).cast("array<int>"))
+    grouped = tokens.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("tf"), F.sort_array(F.collect_list(F.when(F.col("p"), F.col("pos")))).alias("at"))
+    return grouped.select(*keys, "tf", F.when(F.size("at") > 0, F.col("at")).alias("positions"))

@@ -9,11 +9,11 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from quillon.model import Schema, SearchError
-from quillon.operators.index import SearchIndex
+from quillon.operators.index import SearchIndex, postings_of
 
 VERSION = 1
 
@@ -22,10 +22,13 @@ def kinds(schema: Schema) -> dict[str, str]:
     return {f.name: "positional" if f.positions else "frequency" for f in schema.fields}
 
 
-def write_postings(postings: DataFrame, path: str, mode: str = "overwrite") -> None:
-    n = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def write_postings(index: SearchIndex, path: str) -> None:
+    n = int(index.postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # doc_id is in the range so that a term of a third of all documents is split too
-    postings.repartitionByRange(n, "field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id").write.mode(mode).partitionBy("field").parquet(f"{path}/postings")
+    dealt = lambda rows: rows.repartitionByRange(n, "field", "term", "doc_id")
+    # tokens are dealt before they are grouped: one exchange, and only they are read to find the ranges
+    postings = dealt(index.postings) if index.tokens is None else postings_of(dealt(index.tokens), index.schema)
+    postings.sortWithinPartitions("field", "term", "doc_id").write.mode("overwrite").partitionBy("field").parquet(f"{path}/postings")
 
 
 def write_meta(spark: SparkSession, schema: Schema, num_docs: int, path: str) -> None:
@@ -35,7 +38,7 @@ def write_meta(spark: SparkSession, schema: Schema, num_docs: int, path: str) ->
 
 def save_index(index: SearchIndex, path: str) -> None:
     spark = index.postings.sparkSession
-    write_postings(index.postings, path)
+    write_postings(index, path)
     spark.read.parquet(f"{path}/postings").groupBy("field", "term").agg(F.count(F.lit(1)).alias("df")).sortWithinPartitions("field", "term").write.mode("overwrite").parquet(f"{path}/terms")
     index.docs.write.mode("overwrite").parquet(f"{path}/docs")
     write_meta(spark, index.schema, index.num_docs, path)
