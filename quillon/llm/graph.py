@@ -4,6 +4,9 @@ Each round every vertex takes the neighbour of least rank (ranks are hashes draw
 round, so chains shrink by a constant factor), pointers are followed to their roots, and edges
 are rewritten to roots. Every table is cut, so that joins read two fresh shuffles and Spark can
 split a vertex of high degree; minima are aggregated before they are shuffled.
+
+Defined results: an edge of a vertex with itself and a repeated one change nothing, and a vertex with
+no other edge is in no component; no edges give no rows.
 """
 
 from __future__ import annotations

@@ -8,7 +8,10 @@ windows', weighted by their bytes. A filter over one-hot bytes is a table of 256
 convolution is a sum of look-ups, and those of neighbouring bytes share one 65,536-row table.
 
 Defined results: null text, or text without a letter, is ``und`` with score 0; without any
-labelled row everything is ``und``; equal texts get equal predictions.
+labelled row everything is ``und``; equal texts get equal predictions, ties go to the first language
+in order; rows that repeat a text under one id are learnt from once; null ids are predicted like
+others; very long texts are read whole, window by window; an empty table gives no rows; other columns
+are not read.
 """
 
 from __future__ import annotations

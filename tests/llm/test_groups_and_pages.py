@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.llm import decontaminate, near_duplicates, packing, pii, quality, queries, simhash, urlfilter, warc
+from quillon.llm import decontaminate, fingerprint, graph, langid, near_duplicates, packing, pii, quality, queries, simhash, urlfilter, warc
 from quillon.llm.graph import components
 from tests.llm.test_text_operators import prose
 
@@ -337,6 +337,28 @@ def test_trees_learn(spark):
     assert sum((m > 0) == bool(b) for m, (*_, b) in zip(margin, rows, strict=True)) >= 390
 
 
+def test_every_suffix_has_its_rate(spark):
+    rows = [(f"http://a{i}.s{i % 400}/", f"a{i}.s{i % 400}", "/", int(i % 400 < 200)) for i in range(1200)]
+    trees = urlfilter.train(spark.createDataFrame(rows, "url string, host string, path string, blocked int"))
+    df = spark.createDataFrame([("http://b.s7/", "b.s7", "/"), ("http://b.s399/", "b.s399", "/"), ("http://b.new/", "b.new", "/"), (None, "", "")], "url string, host string, path string")
+    got = [r["suffix_rate"] for r in trees.with_suffix(urlfilter.lexical(df)).orderBy("host").collect()]
+    assert trees.suffixes.count() == 400 and got == pytest.approx([0.5, 0.5, 10 / 23, 13 / 23])
+
+
+def test_url_query_against_loop(spark):
+    """The registered query's rules and verdicts on its whole table."""
+    data = Path("/root/testdata/sf0.001")
+    if not data.exists():
+        pytest.skip("needs the driver's tables")
+    urls = {r["page_id"]: r["url"] for r in spark.read.parquet(f"{data}/pages.parquet").collect()}
+    got = queries.QUERIES["op9_url_filter"](spark, str(data)).collect()
+    assert sorted(r["page_id"] for r in got) == sorted(urls)
+    for r in got:
+        host, path, rule = loop_rule(urls[r["page_id"]])
+        assert (r["host"], r["path"], r["rule"]) == (host, path, rule and rule.text)
+        assert r["verdict"] == (rule.verdict if rule else "block" if r["score"] > 0.5 else "allow")
+
+
 # ---- pipeline
 
 
@@ -373,7 +395,7 @@ def test_pipeline(spark, tmp_path):
 def test_names():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES)
     assert numbers == list(range(1, 11)) and set(queries.ORACLES) <= set(queries.QUERIES)
-    assert all(hasattr(m, "__doc__") and "Defined results" in m.__doc__ for m in (decontaminate, near_duplicates, packing, pii, quality, urlfilter, warc))
+    assert all(hasattr(m, "__doc__") and "Defined results" in m.__doc__ for m in (decontaminate, fingerprint, graph, langid, near_duplicates, packing, pii, quality, simhash, urlfilter, warc))
 
 
 def test_oracle(spark):
