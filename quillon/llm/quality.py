@@ -152,10 +152,13 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = 2048) -> Neighbou
     got = sorted(arrow_map(src, count, "k string, quality int, x binary").collect())
     if not got:
         return None
-    counts = np.stack([np.frombuffer(zlib.decompress(r["x"]), dtype="<u2") for r in got])
+    counts = lambda rows: np.stack([np.frombuffer(zlib.decompress(r["x"]), dtype="<u2") for r in rows])
     y = np.array([r["quality"] for r in got], dtype=np.float64)
-    idf = (np.log((1 + len(got)) / (1 + (counts > 0).sum(0))) + 1).astype(np.float32)
-    x = weighted(counts, idf)
+    parts = range(0, len(got), 256)  # so many at a time: the driver holds the sample's weights once
+    idf = (np.log((1 + len(got)) / (1 + sum((counts(got[i : i + 256]) > 0).sum(0) for i in parts))) + 1).astype(np.float32)
+    x = np.empty((len(got), TERMS + SHAPES), dtype=np.float32)
+    for i in parts:
+        x[i : i + 256] = weighted(counts(got[i : i + 256]), idf)
     total = sum(sizes.values())
     basis = _basis(x, min(RANK, len(got)))
     model = Neighbours(idf, basis, _unit(x @ basis), y, np.ones(len(y)), sizes.get(1, 0) / total)
