@@ -146,3 +146,28 @@ def test_scaladoc_of_varied_sources():
     assert got["pick"][1] == "Sums up." and got["tagged"][1] == "Not a def {" and got["tagged"][2] == ["@inline"]
     assert got["tagged"][3:5] == (["A", "B", "a: A", "b: B (Implicit)"], "(A, B)")
     assert got["back quoted"][3] == ["s: String (Optional)"] and got["name"][4] == "Unit" and got["::"][3:5] == (["x: Int"], "Int")
+
+
+@pytest.mark.parametrize(
+    "html, text, title",
+    [
+        ("<head><title>a&amp;&amp</title></head><p>b&amp;&amp<br>&quot;c&quot d&copy &copy;</p>", 'b&&amp\n"c&quot d&copy ©\n', "a&&amp"),
+        ("<p>&#65;&#66 &#x43;&#x44 &ampx; &notit; &lt;&lt x&y &</p>", "A&#66 C&#x44 &ampx; &notit; <&lt x&y &\n", None),
+        ('<p>&amp<img alt="a&amp;b&amp" title="&lt;"></p>', "&ampa&b&amp <\n", None),
+    ],
+)
+def test_references_that_are_cut_off_stay(html, text, title):
+    assert plain_text(html) == (text, title)
+
+
+def test_html_text_equals_its_sql_where_references_are_cut_off(spark, tmp_path):
+    import duckdb
+
+    from quillon import queries
+
+    page = '<!DOCTYPE html><html lang="en"><head><title>{0}</title></head><body><article><h1>{0}</h1><p>x &amp; y.</p></article></body></html>'
+    rows = [(i, f"http://example.org/{i}", page.format(t)) for i, t in enumerate(["a &amp;&amp;", "a &amp;&amp", "a &amp;&am", "a &amp;&", "a &quot;&quot"])]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    assert sorted(map(tuple, queries.html_text(spark, str(tmp_path)).collect())) == sorted(con.execute(queries.ORACLES["html_text"]).fetchall())
