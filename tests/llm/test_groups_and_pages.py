@@ -411,3 +411,38 @@ def test_oracle(spark):
         assert columns == sorted(want.columns)
         rows = lambda it: sorted(map(repr, map(tuple, it)))
         assert rows(got.select(*columns).collect()) == rows(want.project(",".join(f'"{x}"' for x in columns)).fetchall())
+
+
+def test_pipeline_links_by_simhash_and_by_similarity(spark):
+    """Groups are the components of both kinds of links, and each kind has pairs that the other lacks."""
+    import corpus_pipeline as cp
+
+    rng = random.Random(21)
+    texts = []
+    for n in [40, 80, 300, 900, 2000] * 3:
+        words = [rng.choice("abcdefghij") + str(rng.randint(0, 400)) for _ in range(n)]
+        texts.append(" ".join(words))
+        for step in (41, 29, 23, 19):  # a word of so many is another: few bits differ, few shingles are in common
+            texts.append(" ".join(f"edit{rng.randint(0, 999)}" if i % step == 7 else w for i, w in enumerate(words)))
+        texts.append(" ".join(words + [f"more{rng.randint(0, 999)}" for _ in range(n // 6)]))
+    texts += ["", None, "one two three", "one two  THREE"]
+    rng.shuffle(texts)
+    sets = [shingle_set(t or "") for t in texts]
+    bits = [simhash.majority(simhash.word_shingles(t or "", 4)) for t in texts]
+    both, one, kinds = Sets(range(len(texts))), Sets(range(len(texts))), {"bits": 0, "sets": 0}
+    for i in range(len(texts)):
+        for j in range(i):
+            near = (bits[i] ^ bits[j]).bit_count() <= 4
+            alike = len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+            kinds["bits"] += near and not alike
+            kinds["sets"] += alike and not near
+            if near or alike:
+                both.join(i, j)
+            if alike:
+                one.join(i, j)
+    assert min(kinds.values()) > 0 and len({both.find(i) for i in range(len(texts))}) < len({one.find(i) for i in range(len(texts))})
+    first = {}
+    for i in range(len(texts)):
+        first.setdefault(both.find(i), i)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in cp.keep_one(spark, docs, "").collect()} == set(first.values())
