@@ -93,6 +93,21 @@ def test_cells_that_are_shared(spark, monkeypatch, bits, rows):
         assert r["near_next"] == pytest.approx(jaccard(texts[i], texts[(i - 1) % 5]))
 
 
+def test_pairs_that_do_not_peel(spark, monkeypatch):
+    """Fingerprints that are too small for a difference: the pair is taken from a larger sketch."""
+    monkeypatch.setattr(fingerprint, "BITS", 2)
+    monkeypatch.setattr(fingerprint, "EACH", 0.5)
+    rng = random.Random(17)
+    texts = ["\n".join(f"{rng.choice(WORDS)} {rng.randint(0, 40)}" for _ in range(n)) for n in (3, 20, 31, 60, 64)]
+    got = {r["doc_id"]: r for r in fingerprint.compare(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    stuck = 0
+    for i, r in got.items():
+        a, b = r["fingerprint"], got[(i - 1) % 5]["fingerprint"]
+        stuck += a[:2] == b[:2] and fingerprint.peel(fingerprint.parsed(a)[1], fingerprint.parsed(b)[1], int(a[:2], 16)) is None
+        assert r["near_next"] == pytest.approx(jaccard(texts[i], texts[(i - 1) % 5]))
+    assert stuck
+
+
 def test_fingerprint_of_very_long_text(spark):
     rng = random.Random(8)
     long = "\n".join(f"{rng.choice(WORDS)} {rng.randint(0, 10**6)}" for _ in range(60_000))
