@@ -49,7 +49,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(tokenizer)
         end = np.array([end_id], dtype="<u4")
-        for b in slices(batches, "t"):
+        for b in slices(batches, "t", 1 << 20):  # encoding holds some 30 times a slice's memory
             row, piece, start, length, ids = [], [], [], [], []
             flat, begin = e.encode(b.column("t"))
             for i in range(b.num_rows):

@@ -149,3 +149,14 @@ def test_packing(spark, model):
 
 def test_names():
     assert public_tokenizers.path("word_bpe_49k.json") == WORD_BPE
+
+
+def test_cut_writes_small_batches(spark):
+    """What is in memory at once does not grow with the session's batches, which stay as they were."""
+    from quillon.llm.common import arrow_map, cut
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"]) for b in batches)
+    got = [r["n"] for r in cut(arrow_map(spark.range(0, 6001, 1, 1), sizes, "n long")).collect()]
+    assert sorted(got) == [1, *[2000] * 3] and spark.conf.get(name) == before
