@@ -241,7 +241,7 @@ def fold(part: Part, weights: np.ndarray, leading: np.ndarray) -> None:
     beyond = items.T - space @ (space.T @ items.T)
     space = np.concatenate((space, independent(beyond)), 1)
     part.latent = (items @ space).astype(np.float32)
-    part.table = (part.weights[:, None] * space).astype(np.float32)
+    part.table = np.ascontiguousarray(part.weights[:, None] * space, dtype=np.float32)  # by rows: else each take of :func:`_sums` copies it whole
     part.masks = []
     for p in part.passages:
         mask: dict[int, int] = {}

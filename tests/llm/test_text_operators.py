@@ -448,3 +448,14 @@ def test_recall_against_every_window(spark):
     found = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(df, bench).collect()}
     assert len(want) > 200 and len(want & found) >= 0.98 * len(want)
     assert all(lcs(dict(items)[k], docs[i][1]) >= 0.6 * len(dict(items)[k]) for i, k in found)
+
+
+def test_table_of_a_part_is_held_by_rows():
+    """Rows are taken from it for every word; one held by columns would be copied whole each time."""
+    rng = np.random.default_rng(1)
+    passages = [rng.integers(1, 200, 32).tolist() for _ in range(30)]
+    part = decontaminate.Part(list(range(30)), passages, np.arange(200, dtype=np.int32))
+    decontaminate.fold(part, np.ones(200, dtype=np.float32), rng.standard_normal((200, 4)))
+    assert part.table.flags.c_contiguous
+    strides, first = decontaminate._strides([np.array(p) for p in passages])
+    assert [(t, p) for t, p, *_ in decontaminate.matches(strides, first, part)] == [(i, i) for i in range(30)]
