@@ -16,7 +16,8 @@ subtracted and peeled (where the fingerprints are of two sizes, the smaller text
 the larger one's), and a pair that does not peel is taken from a larger sketch, of ``2^56`` cells.
 
 There, cells are rows: they are made, subtracted and peeled by aggregations that stay within the
-task that holds a text's digests, ``PASSES`` times one row of the sketches after the other. Nothing
+task that holds a text's digests: first the keys alone in a cell of any row, which settles most
+pairs, then, of the others, ``PASSES`` times one row of the sketches after the other. Nothing
 but the texts and the digests is shuffled, and what exceeds a task's memory is spilled; as cells take
 some 20 times a text's memory, digests are dealt to ``FINER`` times as many tasks as other rows.
 
@@ -52,6 +53,7 @@ FINER = 16
 _PLACE = (1 << 56) - 1
 NOTES, LARGER = 0, 1
 EDITED, NEXT, OWN, NEW = range(4)
+_LEFT = "array<struct<cell:bigint,c:bigint,x:bigint,held:int>>"
 
 
 def _long(x: int) -> Column:
@@ -92,9 +94,9 @@ def _key(digest: Column, number: Column) -> Column:
     return F.shiftleft(high, 16).bitwiseOR(_check(high))
 
 
-def _place(key: Column, row: int, bits: Column) -> Column:
+def _place(key: Column, row: Column | int, bits: Column) -> Column:
     """The cell of ``row`` that a key goes to, of ``2^bits``."""
-    return F.xxhash64(key, _long(row)).bitwiseAND(F.call_function("shiftleft", _long(1), bits.cast("int")) - 1)
+    return F.xxhash64(key, _long(row) if isinstance(row, int) else row).bitwiseAND(F.call_function("shiftleft", _long(1), bits.cast("int")) - 1)
 
 
 def _cell(top: Column | int, row: int, place: Column) -> Column:
@@ -106,8 +108,8 @@ def _bits(n: Column) -> Column:
 
 
 def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``b, r, doc_id, text, next_text``: the text of the next document in descending key order,
-    after the last that of the first. Documents are dealt to ranges of the key (``b``; ``r`` counts
+    """``b, r, doc_id, text, own, next_text, after``: the text of the next document in descending key
+    order, after the last that of the first, and the digests of both. Documents are dealt to ranges of the key (``b``; ``r`` counts
     within), and the first of each range also goes to the end of the range before it, so one shuffle
     of the texts does it."""
     low = -(1 << 63)
@@ -125,8 +127,9 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     ways = F.filter(F.array(F.struct(F.col("b").cast("int").alias("b"), F.lit(0).alias("late")), F.struct(copy.alias("b"), F.lit(1).alias("late"))), lambda w: w["b"].isNotNull())
     dealt = row.select("doc_id", "text", "k", F.explode(ways).alias("w")).select("doc_id", "text", "k", "w.b", "w.late", F.xxhash64("text").alias("h"))
     after = Window.partitionBy("b").orderBy("late", F.desc("k"), "h")
-    placed = dealt.repartitionById(max(1, len(cuts) + 1), F.col("b"))
-    return placed.select("b", F.row_number().over(after).alias("r"), "doc_id", "text", "late", F.lead("text").over(after).alias("next_text")).filter("late = 0").drop("late")
+    placed = dealt.repartitionById(max(1, len(cuts) + 1), F.col("b")).withColumn("own", digests(F.col("text")))
+    lead = [F.lead(c).over(after).alias(name) for c, name in (("text", "next_text"), ("own", "after"))]
+    return placed.select("b", F.row_number().over(after).alias("r"), "doc_id", "text", "own", "late", *lead).filter("late = 0").drop("late")
 
 
 def _bucket(cuts: list[int], k: Column) -> Column:
@@ -155,7 +158,7 @@ def _paragraphs(rows: DataFrame) -> DataFrame:
     new = rows.withColumn("edited", edited(F.col("text"), F.col("next_text")))
     new = new.withColumn("sha", F.sha2("edited", 256))
     words = [F.conv(F.substring("sha", 16 * i + 1, 16), 16, -10).cast("long") for i in range(4)]
-    known = new.select("b", "r", digests(F.col("text")).alias("own"), digests(F.col("edited")).alias("new"), digests(F.col("next_text")).alias("after"), F.array(F.char_length("text").cast("long"), F.coalesce("doc_id", _long(0)), F.col("doc_id").isNull().cast("long"), *words).alias("notes"))
+    known = new.select("b", "r", "own", digests(F.col("edited")).alias("new"), "after", F.array(F.char_length("text").cast("long"), F.coalesce("doc_id", _long(0)), F.col("doc_id").isNull().cast("long"), *words).alias("notes"))
     own, new_, after = F.size("own"), F.size("new"), F.size("after")
     sizes = [_bits(F.greatest(own, new_)), _bits(F.greatest(own, after)), _bits(own), _bits(new_)]
     g = F.shiftleft(F.col("r").cast("long"), 24)
@@ -194,25 +197,63 @@ def _sketched(paragraphs: DataFrame) -> DataFrame:
     return cells.groupBy("b", "g", "cell").agg(*[F.sum(f"h{i}").alias(f"c{i}") for i in range(3)], *[F.bit_xor(held[i]).alias(f"x{i}") for i in range(3)])
 
 
+def _alone(sketch: int, c: Column, x: Column, row: Column | int, place: Column) -> Column:
+    """Whether a cell of a subtraction, ``place`` of ``row``, holds one key, that goes there."""
+    return (F.abs(c) == 1) & (x.bitwiseAND(_long(0xFFFF)) == _check(F.shiftrightunsigned(x, 16))) & (_place(x, row, _exponent(sketch)) == place)
+
+
 def _subtracted(cells: DataFrame) -> DataFrame:
-    """``b, g, rest, cell, c, x``: the cells of each pair's fingerprints subtracted, and one row with
-    ``rest``: notes, both fingerprints and what the larger sketch says of the pairs."""
+    """``b, g, rest, cell, c, x``: of each pair's fingerprints, subtracted, what is left when the keys
+    alone in a cell of any row are out, and one row with ``rest``: notes, both fingerprints, how many
+    keys are out, and what the larger sketch says of the pairs.
+
+    A cell with one key is empty once the key is out, so only cells with more are kept. Nothing is
+    left if a row's number and exclusive or are those of the keys that are out."""
     cell = F.col("cell")
     top = F.shiftrightunsigned(cell, 56)
     e, row, place = F.shiftrightunsigned(top, 2), top.bitwiseAND(_long(3)), cell.bitwiseAND(_long(_PLACE))
-    note = lambda i: F.max(F.when(cell == (NOTES * 4 + 3 << 56 | i), F.col("x0"))).alias(f"note{i}")
-    c = {EDITED: F.col("c0") - F.col("c1"), NEXT: F.col("c0") - F.col("c2")}
-    x = {EDITED: F.col("x0").bitwiseXOR(F.col("x1")), NEXT: F.col("x0").bitwiseXOR(F.col("x2"))}
-    own = lambda sketch, i: F.collect_list(F.when((row < ROWS) & (e == _exponent(sketch)) & (F.col(f"c{i}") > 0), F.struct(F.shiftleft(row, 56).bitwiseOR(place).alias("cell"), F.col(f"c{i}").alias("c"), F.col(f"x{i}").alias("x"))))
-    pair = lambda s: F.collect_list(F.when((row < PAIR_ROWS) & (e == _exponent(s)) & ((c[s] != 0) | (x[s] != 0)), F.struct(F.shiftleft(row + s * 4, 56).bitwiseOR(place).alias("cell"), c[s].alias("c"), x[s].alias("x"))))
-    larger = lambda s, sign: F.coalesce(F.sum(F.when((top == LARGER * 4 + 3) & (c[s] * sign > 0), c[s] * sign)), _long(0))
-    sides = [larger(s, 1 - 2 * i).alias(f"{name}{i}") for s, name in ((EDITED, "e"), (NEXT, "n")) for i in (0, 1)]
-    got = cells.groupBy("b", "g").agg(*[note(i) for i in range(8)], *sides, own(OWN, 0).alias("own"), own(NEW, 1).alias("new"), pair(EDITED).alias("edited"), pair(NEXT).alias("next"))
-    got = got.withColumns({"own": _text(F.col("own"), _exponent(OWN)), "new": _text(F.col("new"), _exponent(NEW))})
-    rest = F.struct(*[f"note{i}" for i in range(8)], "e0", "e1", "n0", "n1", "own", "new")
-    none = F.array(F.struct(F.lit(None).cast("long").alias("cell"), _long(0).alias("c"), _long(0).alias("x")))
-    each = got.select("b", "g", rest.alias("rest"), F.explode(F.concat(none, "edited", "next")).alias("w"))
-    return each.select("b", "g", F.when(F.col("w.cell").isNull(), F.col("rest")).alias("rest"), "w.cell", "w.c", "w.x")
+    names = {EDITED: "e", NEXT: "n"}
+    at = cells.select("*", e.alias("e"), row.alias("row"), place.alias("place"), (top == LARGER * 4 + 3).alias("larger"))
+    for i, s in ((1, EDITED), (2, NEXT)):
+        at = at.withColumns({f"{names[s]}c": F.col("c0") - F.col(f"c{i}"), f"{names[s]}x": F.col("x0").bitwiseXOR(F.col(f"x{i}")), f"{names[s]}here": (F.col("row") < PAIR_ROWS) & (F.col("e") == _exponent(s))})
+    row, place = F.col("row"), F.col("place")
+    known = {f"{n}alone": F.when(F.col(f"{n}here"), _alone(s, F.col(f"{n}c"), F.col(f"{n}x"), row, place)).otherwise(False) for s, n in names.items()}
+    at = at.withColumns(known)
+
+    def text(sketch: int, i: int) -> Column:
+        index = F.call_function("shiftleft", row, _exponent(sketch).cast("int")) + place
+        written = F.concat_ws(".", F.hex(index), F.hex(f"c{i}"), F.hex(f"x{i}"))
+        return F.when((row < ROWS) & (F.col("e") == _exponent(sketch)) & (F.col(f"c{i}") > 0), F.struct(index.alias("i"), written.alias("t")))
+
+    columns = {f"note{i}": F.max(F.when(cell == (NOTES * 4 + 3 << 56 | i), F.col("x0"))) for i in range(8)}
+    columns |= {"own": F.collect_list(text(OWN, 0)), "new": F.collect_list(text(NEW, 1))}
+    for s, n in names.items():
+        here, c, x, alone = (F.col(n + what) for what in ("here", "c", "x", "alone"))
+        for i, sign in enumerate((1, -1)):
+            columns[f"{n}{i}"] = F.coalesce(F.sum(F.when(F.col("larger") & (c * sign > 0), c * sign)), _long(0))
+            columns[f"{n}keys{i}"] = F.collect_list(F.when(alone & (c == sign), x))
+        columns[f"{n}c"] = F.coalesce(F.sum(F.when(here & (row == 0), c)), _long(0))
+        columns[f"{n}x"] = F.coalesce(F.bit_xor(F.when(here & (row == 0), x)), _long(0))
+        many = here & ~alone & ((c != 0) | (x != 0))
+        columns[f"{n}many"] = F.collect_list(F.when(many, F.struct(F.shiftleft(row + s * 4, 56).bitwiseOR(place).alias("cell"), c.alias("c"), x.alias("x"), F.lit(1).alias("held"))))
+    got = at.groupBy("b", "g").agg(*[c.alias(name) for name, c in columns.items()])
+    got = got.withColumns({"own": _text(F.col("own"), _exponent(OWN)), "new": _text(F.col("new"), _exponent(NEW)), **{f"{n}keys{i}": F.array_distinct(f"{n}keys{i}") for n in names.values() for i in (0, 1)}})
+    got = got.withColumns({f"{n}out{i}": F.size(f"{n}keys{i}").cast("long") for n in names.values() for i in (0, 1)})
+    rest = F.struct(*[f"note{i}" for i in range(8)], "own", "new", *[f"{n}{what}{i}" for n in names.values() for what in ("", "out") for i in (0, 1)])
+    none = F.array(F.struct(F.lit(None).cast("long").alias("cell"), _long(0).alias("c"), _long(0).alias("x"), F.lit(1).alias("held")))
+
+    def left(s: int) -> Column:
+        n = names[s]
+        both = F.concat(f"{n}keys0", f"{n}keys1")
+        nothing = (F.col(f"{n}c") == F.col(f"{n}out0") - F.col(f"{n}out1")) & (F.col(f"{n}x") == F.aggregate(both, _long(0), lambda a, k: a.bitwiseXOR(k)))
+        out = lambda c: lambda k: F.array(*[F.struct(_cell(s, r, _place(k, r, _exponent(s))).alias("cell"), _long(c).alias("c"), k.alias("x"), F.lit(0).alias("held")) for r in range(PAIR_ROWS)])
+        taken = [F.flatten(F.transform(f"{n}keys{i}", out(c))) for i, c in ((0, -1), (1, 1))]
+        return F.when(nothing, F.array().cast(_LEFT)).otherwise(F.concat(f"{n}many", *taken))
+
+    each = got.select("b", "g", rest.alias("rest"), F.explode(F.concat(none, left(EDITED), left(NEXT))).alias("w"))
+    each = each.select("b", "g", F.when(F.col("w.cell").isNull(), F.col("rest")).alias("rest"), "w.cell", "w.c", "w.x", "w.held")
+    summed = each.groupBy("b", "g", "rest", "cell").agg(F.sum("c").alias("c"), F.bit_xor("x").alias("x"), F.max("held").alias("held"))
+    return summed.filter("rest is not null or (held = 1 and (c <> 0 or x <> 0))").drop("held")
 
 
 def _peeled(cells: DataFrame, row: int) -> DataFrame:
@@ -222,7 +263,8 @@ def _peeled(cells: DataFrame, row: int) -> DataFrame:
     top = F.shiftrightunsigned(cell, 56)
     sketch = F.shiftrightunsigned(top, 2)
     bits = F.when(sketch == EDITED, _exponent(EDITED)).otherwise(_exponent(NEXT))
-    alone = (sketch < OWN) & (top.bitwiseAND(_long(3)) == row) & (F.abs(c) == 1) & (x.bitwiseAND(_long(0xFFFF)) == _check(F.shiftrightunsigned(x, 16))) & (_place(x, row, bits) == cell.bitwiseAND(_long(_PLACE)))
+    place = cell.bitwiseAND(_long(_PLACE))
+    alone = (top.bitwiseAND(_long(3)) == row) & F.when(sketch == EDITED, _alone(EDITED, c, x, row, place)).otherwise((sketch == NEXT) & _alone(NEXT, c, x, row, place))
     out = [F.struct(F.shiftleft(sketch * 4 + other, 56).bitwiseOR(_place(x, other, bits)).alias("cell"), (-c).alias("c"), x.alias("x")) for other in range(PAIR_ROWS) if other != row]
     found = F.struct(F.shiftleft(sketch * 4 + 3, 56).bitwiseOR(F.when(c > 0, _long(0)).otherwise(_long(1))).alias("cell"), _long(1).alias("c"), _long(0).alias("x"))
     stays = F.struct("cell", "c", "x")
@@ -231,10 +273,8 @@ def _peeled(cells: DataFrame, row: int) -> DataFrame:
 
 
 def _text(cells: Column, bits: Column) -> Column:
-    """``exponent:cell.number.keys,...``, all hexadecimal."""
-    row = lambda s: F.shiftrightunsigned(s["cell"], 56).bitwiseAND(_long(3))
-    index = lambda s: F.call_function("shiftleft", row(s), bits.cast("int")) + s["cell"].bitwiseAND(_long(_PLACE))
-    each = F.transform(F.sort_array(cells), lambda s: F.concat_ws(".", F.hex(index(s)), F.hex(s["c"]), F.hex(s["x"])))
+    """``exponent:cell.number.keys,...``, all hexadecimal, of cells' numbers ``i`` and texts ``t``."""
+    each = F.transform(F.sort_array(cells), lambda s: s["t"])
     return F.lower(F.concat(F.lpad(F.hex(bits), 2, "0"), F.lit(":"), F.array_join(each, ",")))
 
 
@@ -251,7 +291,7 @@ def compare(docs: DataFrame) -> DataFrame:
     got = cells.groupBy("b", "g").agg(F.first("rest", ignorenulls=True).alias("rest"), *peeled, *left)
 
     def likeness(name: str) -> Column:
-        first, second = (F.when(F.col(f"{name}left") == 0, F.col(f"{name}{i}")).otherwise(F.col(f"rest.{name}{i}")) for i in (0, 1))
+        first, second = (F.when(F.col(f"{name}left") == 0, F.col(f"{name}{i}") + F.col(f"rest.{name}out{i}")).otherwise(F.col(f"rest.{name}{i}")) for i in (0, 1))
         common = F.col("rest.note7") - first
         total = common + first + second
         return F.when(total == 0, 1.0).otherwise(common / total)

@@ -108,6 +108,35 @@ def test_pairs_that_do_not_peel(spark, monkeypatch):
     assert stuck
 
 
+@pytest.mark.parametrize("each", [1, 8])
+def test_only_shared_cells_are_left_to_peel(spark, monkeypatch, each):
+    """Keys alone in a cell of any row are out of a subtraction before its cells become rows again,
+    and settled pairs have none; the next texts' digests are those made for the texts themselves."""
+    monkeypatch.setattr(fingerprint, "EACH", each)
+    monkeypatch.setattr(fingerprint, "BITS", 6)
+    rng = random.Random(9)
+    texts = ["\n".join(f"{rng.choice(WORDS)} {rng.randint(0, 10**6)}" for _ in range(rng.randint(40, 60))) for _ in range(12)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    placed = fingerprint.with_next(docs)
+    assert placed.filter(F.col("after") != fingerprint.digests(F.col("next_text"))).count() == 0 and placed.filter("size(after) > 0").count() == 12
+    got = {r["doc_id"]: r for r in fingerprint.compare(docs).collect()}
+    expected = cells = 0
+    for i, r in got.items():
+        for other in (r["edited_fingerprint"], got[(i - 1) % 12]["fingerprint"]):
+            (bits, a), (b_bits, b) = fingerprint.parsed(r["fingerprint"]), fingerprint.parsed(other)
+            assert bits == b_bits
+            left = {j: (a.get(j, (0, 0))[0] - b.get(j, (0, 0))[0], a.get(j, (0, 0))[1] ^ b.get(j, (0, 0))[1]) for j in a.keys() | b.keys()}
+            cells += sum(map(any, left.values()))
+            alone = {(n, k) for j, (n, k) in left.items() if abs(n) == 1 and fingerprint._hash((k >> 16).to_bytes(8, "little")) & 0xFFFF == k & 0xFFFF and j in fingerprint._cells(k, bits)}
+            for n, k in alone:
+                for j in fingerprint._cells(k, bits):
+                    left[j] = left[j][0] - n, left[j][1] ^ k
+            expected += sum(map(any, left.values()))
+    rows = fingerprint._subtracted(fingerprint._sketched(fingerprint._paragraphs(placed)))
+    assert rows.filter("rest is null").count() == expected < cells / 2 and rows.filter("rest is not null").count() == 12
+    assert expected or each == 8
+
+
 def test_fingerprint_of_very_long_text(spark):
     rng = random.Random(8)
     long = "\n".join(f"{rng.choice(WORDS)} {rng.randint(0, 10**6)}" for _ in range(60_000))
